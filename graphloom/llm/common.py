@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.runtime import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 ROWS_PER_BATCH = 1000
@@ -57,7 +59,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ROWS_PER_BATCH rows, so that a Python worker holds few long texts at once."""
+    """Arrow batches of at most ROWS_PER_BATCH rows, so that a Python worker holds few long texts at once; ships the package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ROWS_PER_BATCH or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(ROWS_PER_BATCH))

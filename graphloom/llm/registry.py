@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontaminate, mixing
+from graphloom.llm import decontaminate, licenses, mixing, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op4_quality": quality.op4_quality,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_mixing": mixing.op7_mixing,
+    "op9_licenses": licenses.op9_licenses,
 }
 
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
+    "op9_licenses": licenses.licenses_sql(),
 }
