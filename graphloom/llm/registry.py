@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontaminate, licenses, mixing, quality, token_counts, toxicity
+from graphloom.llm import decontaminate, licenses, mixing, quality, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -10,10 +10,12 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_mixing": mixing.op7_mixing,
+    "op8_warc": warc.op8_warc,
     "op9_licenses": licenses.op9_licenses,
 }
 
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
+    "op8_warc": warc.OP8_SQL,
     "op9_licenses": licenses.licenses_sql(),
 }
