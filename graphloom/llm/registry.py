@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontaminate, licenses, mixing, quality, token_counts, toxicity, warc
+from graphloom.llm import decontaminate, licenses, lm_score, mixing, quality, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_lm_score": lm_score.op3_lm_score,
     "op4_quality": quality.op4_quality,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_mixing": mixing.op7_mixing,
