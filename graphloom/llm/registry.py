@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontaminate, licenses, lm_score, mixing, quality, token_counts, toxicity, warc
+from graphloom.llm import decontaminate, licenses, lm_score, mixing, neardup, quality, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -13,10 +13,12 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_warc": warc.op8_warc,
     "op9_licenses": licenses.op9_licenses,
+    "op10_neardup": neardup.op10_neardup,
 }
 
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op8_warc": warc.OP8_SQL,
     "op9_licenses": licenses.licenses_sql(),
+    "op10_neardup": neardup.OP10_SQL,
 }
