@@ -82,16 +82,16 @@ def sequential(left: np.ndarray, right: np.ndarray, similar: int) -> tuple[np.nd
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """id, n (set size), cid (hash of the set, null if empty), sig."""
+    """id, th (the text's hash, passed on), n (set size), cid (hash of the set, null if empty), sig."""
 
     def run(b: pa.RecordBatch) -> dict:
         import xxhash
 
         sets = [shingles(t, k) for t in texts(b)]
         cid = [np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64) if len(s) else None for s in sets]
-        return {"id": b.column("id"), "n": [len(s) for s in sets], "cid": cid, "sig": [signature(s).tobytes() if len(s) else None for s in sets]}
+        return {"id": b.column("id"), "th": b.column("th"), "n": [len(s) for s in sets], "cid": cid, "sig": [signature(s).tobytes() if len(s) else None for s in sets]}
 
-    return per_row(docs, run, "id long, n long, cid long, sig binary")
+    return per_row(docs, run, "id long, th long, n long, cid long, sig binary")
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -194,14 +194,14 @@ def across(multi: DataFrame, labels: DataFrame, sigs: DataFrame, similar: int) -
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept for each row.
+    """id, n_shingles, component_id, kept and th (xxhash64 of the text) for each row.
 
     Null and empty texts have an empty set and are linked with nothing; so are rows with a null id, which
     have no component and are kept. Repeated ids link by their texts alone; repeated rows are all kept or
     none is. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stored(signatures(rows, k), "signatures")
+    signed = stored(signatures(rows.withColumn("th", F.xxhash64("text")), k), "signatures")
     usable = signed.filter(F.col("id").isNotNull() & F.col("cid").isNotNull())
     tops = usable.groupBy("cid").agg(F.min("id").alias("id"))
     buckets = band_rows(usable.select("cid", "sig")).distinct()
@@ -222,9 +222,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR, id_col:
     byclass = tops.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = byclass.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = byclass.join(least, "comp").select("cid", "component_id")
-    out = signed.select("id", "n", "cid").join(named, "cid", "left")
+    out = signed.select("id", "th", "n", "cid").join(named, "cid", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "th")
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without those that are not their group's smallest id; columns and other rows as they were. Rows equal in id and text are one document."""
+    gone = near_duplicates(docs, k, similar, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
+    return docs.join(gone, (docs[id_col] == F.col("_gone_id")) & (F.xxhash64(docs[text_col]) == F.col("_gone_th")), "left_anti")
 
 
 def _link(rows: DataFrame, pairs: DataFrame, tops: DataFrame, k: int, similar: int) -> DataFrame:
@@ -234,7 +240,7 @@ def _link(rows: DataFrame, pairs: DataFrame, tops: DataFrame, k: int, similar: i
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2).drop("th")
 
 
 OP10_SQL = r"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontaminate, licenses, lm_score, mixing, neardup, quality, token_counts, toxicity, warc
+from graphloom.llm import decontaminate, licenses, lm_score, mixing, neardup, quality, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_lm_score": lm_score.op3_lm_score,
     "op4_quality": quality.op4_quality,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_warc": warc.op8_warc,
     "op9_licenses": licenses.op9_licenses,
