@@ -14,12 +14,13 @@ from graphloom.llm import decontaminate, mixing, neardup, quality, suffix_dedup
 from graphloom.llm.common import stored, table
 
 ID, TEXT = "doc_id", "text"
+OWN = ("size", "source_size", "target", "copies", "taken")  # of the mix; columns of documents with these names end there
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     rest = tuple(c for c in docs.columns if c != ID)
-    return quality.quality(docs, table(spark, sf_dir, "labels"), keep=rest).filter("kept").select(docs.columns)
+    return quality.quality(docs, table(spark, sf_dir, "labels"), keep=rest, only_kept=True).select(docs.columns)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages that a document with a smaller id has; n_chars follows the text."""
     rest = tuple(c for c in docs.columns if c not in (ID, TEXT))
-    out = suffix_dedup.remove_repeats(docs, keep=rest, with_text=True)
+    out = suffix_dedup.remove_repeats(docs, keep=rest, only_text=True)
     if "n_chars" in rest:
         out = out.withColumn("n_chars", F.length(TEXT).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(docs.columns)
@@ -43,8 +44,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with copies, words taken and their source's target."""
-    rest = tuple(c for c in docs.columns if c not in (ID, "source"))
-    return mixing.mix(docs, keep=rest).filter("copies > 0").select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    rest = tuple(c for c in docs.columns if c not in (ID, "source", *OWN))
+    return mixing.mix(docs, keep=rest).filter("copies > 0").select(ID, "source", *rest, *OWN)
 
 
 STAGES = [

@@ -84,7 +84,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, id_col: str
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without any hit, columns and clean rows as they were. Null ids and repeated rows are kept."""
     bad = find_hits(docs, benchmark, n, id_col, text_col).filter(F.col("n_hit") > 0).select(F.col(id_col).alias("_bad_id"), F.col("th").alias("_bad_th")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs[text_col], F.length(docs[text_col])) == F.col("_bad_th"))
+    same = docs[id_col].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs[text_col], F.length(docs[text_col])) == bad["_bad_th"])
     return docs.join(bad, same, "left_anti")
 
 

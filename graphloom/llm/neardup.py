@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR, id_col:
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that are not their group's smallest id; columns and other rows as they were. Rows equal in id and text are one document."""
     gone = near_duplicates(docs, k, similar, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
-    return docs.join(gone, (docs[id_col] == F.col("_gone_id")) & (F.xxhash64(docs[text_col]) == F.col("_gone_th")), "left_anti")
+    return docs.join(gone, (docs[id_col] == gone["_gone_id"]) & (F.xxhash64(docs[text_col]) == gone["_gone_th"]), "left_anti")
 
 
 def _link(rows: DataFrame, pairs: DataFrame, tops: DataFrame, k: int, similar: int) -> DataFrame:

@@ -208,8 +208,8 @@ def judge(text: bytes, crf: Crf, content_share: float = CONTENT_SHARE) -> tuple:
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id and FIELDS for each row, then the columns of ``keep``. A null text has no words and so fails; null ids and repeated rows are kept as rows."""
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple[str, ...] = (), only_kept: bool = False) -> DataFrame:
+    """id and FIELDS for each row, then the columns of ``keep``; with ``only_kept`` id and ``keep`` of the rows that stay. A null text has no words and so fails; null ids and repeated rows are kept as rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
     crf = fit(rows.select("id", "text"), labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")))
     names = [f.split()[0] for f in FIELDS.split(", ")]
@@ -221,6 +221,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     schema = ", ".join([f"`{id_col}` long", FIELDS, *[f"`_keep_{i}` {kinds[f'_keep_{i}']}" for i in range(len(keep))]])
     out = per_row(rows, run, schema)
+    if only_kept:
+        return out.filter("kept").select(id_col, *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)])
     return out.select(id_col, *names, *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)]) if keep else out
 
 

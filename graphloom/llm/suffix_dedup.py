@@ -312,8 +312,8 @@ def spans_of(answers: list[tuple[int, bytes]], least: int) -> dict[tuple[int, in
     return out
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 for each row; with ``with_text`` also ``text``, what is left; then the columns of ``keep``.
+def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), only_text: bool = False, need_text: bool = True) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256, text (what is left), then the columns of ``keep``, for each row; with ``only_text`` id, text, ``keep``. Without ``need_text`` the text is null.
 
     Bytes in a string of ``least`` bytes that also starts in a document with a smaller id go; overlaps count,
     the input decides. In ``text`` a character stays only if all its bytes stay. Null texts are empty. Rows
@@ -339,7 +339,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     grouped = rows.mapInArrow(group, ", ".join([f"`{c}` {k}" for c, k in kinds.items()] + ["grp int"]))
     sent = grouped.select("grp", "id", "text").groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(_send(least, buckets, blob), BLOB)
     answers = stored(sent.groupBy("bucket").applyInArrow(_search(least, both), "kind int, grp int, data binary"), "answers")
-    schema = ", ".join([f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["text string"] * with_text, *[f"`{k}` {kinds[k]}" for k in kept]])
+    schema = ", ".join([f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", "_left string", *[f"`{k}` {kinds[k]}" for k in kept]])
     final = to_arrow(spark, schema)
 
     def apply(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -354,13 +354,13 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
                 row = [None if i == NO_ID else i, len(t), len(t) - len(left), len(s), hashlib.sha256(left).hexdigest()]
                 for n, x in zip(final.names, row, strict=False):
                     out[n].append(x)
-                if with_text:
-                    out["text"].append("".join(t[a:b].decode("utf-8", "ignore") for a, b in zip([0, *e.tolist()], [*s.tolist(), len(t)], strict=True)))
+                out["_left"].append("".join(t[a:b].decode("utf-8", "ignore") for a, b in zip([0, *e.tolist()], [*s.tolist(), len(t)], strict=True)) if need_text else None)
         return pa.table({n: docs[n] if n in kept else out[n] for n in final.names}, schema=final)
 
     result = grouped.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(apply, schema)
-    return result.withColumnsRenamed(dict(zip(kept, keep, strict=True))) if keep else result
+    named = [F.col("_left").alias(text_col), *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)]]
+    return result.select(id_col, *([] if only_text else ["n_bytes", "n_removed", "n_spans", "kept_sha256"]), *named)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents"), need_text=False).drop("text")
