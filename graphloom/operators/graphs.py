@@ -92,8 +92,8 @@ def size_bins(sizes: DataFrame, bins: int = 3) -> DataFrame:
 
 
 def stratified_sample(binned: DataFrame, count: int, seed: int = 0, bins: int = 3) -> DataFrame:
-    """``count`` graphs, dealt evenly over bins, the remainder to the first; chosen by hashed ids. Bins that fall short are filled from the rest."""
-    order = F.xxhash64(F.lit(seed), "graph_id")
+    """``count`` graphs, dealt evenly over bins, the remainder to the first; chosen by the MD5 of seed and id. Bins that fall short are filled from the rest."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("graph_id").cast("string")))
     quota = F.lit(count // bins) + F.when(F.col("bin") < count % bins, 1).otherwise(0)
     ranked = binned.withColumn("_r", F.row_number().over(W.partitionBy("bin").orderBy(order, "graph_id"))).withColumn("_spare", (F.col("_r") > quota).cast("int"))
     return ranked.orderBy("_spare", order, "graph_id").limit(count).drop("_r", "_spare")

@@ -63,7 +63,7 @@ def boundaries(carrier_nodes: DataFrame, carrier_edges: DataFrame, rules: DataFr
     groups = sides.groupBy(*KEYS, "cid", "other", "other_kind", "other_label", "edge_label").agg(F.array_sort(F.collect_list("port")).alias("ports"))
     item = F.struct("other_kind", "other_label", "edge_label", F.size("ports").alias("n"), "other", "ports")
     groups = groups.groupBy(*KEYS, "cid").agg(F.array_sort(F.collect_list(item)).alias("groups"))
-    supers = carrier_nodes.filter("kind = 'motif'").select(*KEYS, "cid", F.col("label").cast("int").alias("rank"))
+    supers = carrier_nodes.filter("kind = 'motif'").select(*KEYS, "cid", F.col("label").try_cast("int").alias("rank"))
     rows = supers.join(groups, [*KEYS, "cid"], "left").join(F.broadcast(rules.select("rank", "autos")), "rank")
     context = F.transform("groups", lambda g: F.concat_ws("\x1f", g["other_kind"], g["other_label"], g["edge_label"], g["n"].cast("string")))
     moved = F.transform("autos", lambda a: F.transform("groups", lambda g: F.array_sort(F.transform(g["ports"], lambda p: F.get(a, p)))))
@@ -100,7 +100,7 @@ def mismatches(nodes: DataFrame, edges: DataFrame, got_nodes: DataFrame, got_edg
 
 def port_histogram(carrier_edges: DataFrame, carrier_nodes: DataFrame) -> DataFrame:
     """(rank, port, n) over both ends of all carrier edges."""
-    rank = carrier_nodes.filter("kind = 'motif'").select(*KEYS, "cid", F.col("label").cast("int").alias("rank"))
+    rank = carrier_nodes.filter("kind = 'motif'").select(*KEYS, "cid", F.col("label").try_cast("int").alias("rank"))
     ends = carrier_edges.select(*KEYS, F.explode(F.array(F.struct(F.col("src").alias("cid"), F.col("src_port").alias("port")), F.struct(F.col("dst").alias("cid"), F.col("dst_port").alias("port")))).alias("x")).select(*KEYS, "x.cid", "x.port").filter("port is not null")
     return ends.join(rank, [*KEYS, "cid"]).groupBy("rank", "port").agg(F.count("*").alias("n"))
 
