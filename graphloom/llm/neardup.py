@@ -5,9 +5,9 @@ every class is a candidate with the bucket's leader (another leader for each ban
 thousands yields few pairs for each member), not with all others. Signatures of candidates are compared
 batch by batch, and a pair goes as soon as the posterior chance that its similarity reaches the
 threshold falls below MISS. Each class is then verified exactly, on full sets, with its best candidate.
-What this links is joined into components. Inside buckets that still hold several components, all pairs
-across components go through the same two tests, tile by tile, without being written out as rows. So a
-link is missed only if no band agrees, or by the chosen MISS.
+What this links is joined into components. Candidates and buckets that still span several components make
+families; inside a family all pairs across components go through the same two tests, tile by tile, without
+being written out as rows. So a link is missed only if no band agrees, or by the chosen MISS.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ ROWS, BANDS = 4, 32  # at similarity 0.8 no band agrees with probability 5e-8
 HASHES = ROWS * BANDS
 BATCH = 16
 MISS = 1e-6
-TILE = 256
+TILE = 1024
+TILE_BYTES = 4 << 20
 
 _hash = WordHash()
 _rng = np.random.default_rng(97)
@@ -71,14 +72,15 @@ def least_matches(similar: int, miss: float = MISS) -> np.ndarray:
     return np.array(out)
 
 
-def sequential(left: np.ndarray, right: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows' pairs survive all batches, and their matches."""
-    at, m = np.arange(len(left)), np.zeros(len(left), int)
+def sequential(left: np.ndarray, right: np.ndarray, p: np.ndarray, q: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows p of ``left`` and q of ``right`` survive all batches, and their matches."""
+    at, m = np.arange(len(p)), np.zeros(len(p), int)
     for j, least in enumerate(least_matches(similar)):
         part = slice(j * BATCH, (j + 1) * BATCH)
-        m[at] += (left[at, part] == right[at, part]).sum(1)
-        at = at[m[at] >= least]
-    return at, m[at]
+        m += (left[p, part] == right[q, part]).sum(1)
+        go = m >= least
+        at, m, p, q = at[go], m[go], p[go], q[go]
+    return at, m
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -117,10 +119,11 @@ def pruned(pairs: DataFrame, sigs: DataFrame, similar: int) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 left, right = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, HASHES) for c in ("sa", "sb"))
-                at, m = sequential(left, right, similar)
+                every = np.arange(b.num_rows)
+                at, m = sequential(left, right, every, every, similar)
                 yield pa.RecordBatch.from_pydict({"a": b.column("a").to_numpy()[at], "b": b.column("b").to_numpy()[at], "m": m.astype(np.int32)}, schema=arrow)
 
-    both = pairs.join(sigs.withColumnsRenamed({"cid": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"cid": "b", "sig": "sb"}), "b")
+    both = pairs.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, m int")
 
 
@@ -158,24 +161,32 @@ def full_sets(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
     return per_row(rows, run, "cid long, words binary").filter("words is not null").dropDuplicates(["cid"])
 
 
-def across(multi: DataFrame, labels: DataFrame, sigs: DataFrame, similar: int) -> DataFrame:
-    """(a, b): pairs of a bucket from different components that the sequential test leaves.
+def across(classes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """(a, b): links between classes of one family and different components, on full sets; of a tile one for each two components.
 
-    A bucket is dealt into tiles of about TILE by TILE members, so that no task holds a whole large bucket.
+    ``classes``: cid, comp, family, sig, n (set size). A family is dealt into tiles, pairs of blocks of at
+    most TILE classes and about TILE_BYTES of sets. Inside a tile signatures are compared first, then the
+    sets: one class against all that are left, through lists of the classes that have each shingle.
     """
-    spark = multi.sparkSession
+    spark = classes.sparkSession
     bound_batches(spark)
-    rows = multi.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    mixed = rows.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo != hi and n > 2")
-    blocks = F.ceil(F.col("n") / TILE).cast("int")
-    rows = rows.join(mixed.select("k", blocks.alias("blocks")), "k").withColumn("own", F.pmod(F.xxhash64(F.lit(5), F.col("cid")), F.col("blocks")).cast("int"))
-    tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp")
-    tiles = tiles.join(sigs, "cid")
+    size = classes.groupBy("family").agg(F.count("*").alias("classes"), F.sum(F.col("n") * 8).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("classes") / TILE), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
+    rows = classes.join(size.select("family", blocks.alias("blocks")), "family").withColumn("own", F.pmod(F.xxhash64(F.lit(5), F.col("cid")), F.col("blocks")).cast("int"))
+    tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "sig")
+    tiles = tiles.join(sets, "cid")
     arrow = to_arrow(spark, "a long, b long")
 
-    def pairs(group: pa.Table) -> pa.Table:
+    def links(group: pa.Table) -> pa.Table:
         cid, comp, own, i, j = (group[c].to_numpy() for c in ("cid", "comp", "own", "i", "j"))
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(-1, HASHES)
+        words = [np.frombuffer(w, np.uint64) for w in group["words"].to_pylist()]
+        n = np.array([len(w) for w in words])
+        owner = np.repeat(np.arange(len(words)), n)
+        _, shingle = np.unique(np.concatenate(words), return_inverse=True)
+        having = owner[np.argsort(shingle, kind="stable")]  # classes by shingle
+        end = np.cumsum(np.bincount(shingle))
+        own_shingles = np.split(shingle, np.cumsum(n)[:-1])
         x = np.flatnonzero(own == i)
         y = x if i[0] == j[0] else np.flatnonzero(own == j)
         found = []
@@ -185,12 +196,27 @@ def across(multi: DataFrame, labels: DataFrame, sigs: DataFrame, similar: int) -
             if i[0] == j[0]:
                 far &= p < q
             p, q = p[far], q[far]
-            kept, _ = sequential(sig[p], sig[q], similar)
-            found.append(np.stack((cid[p[kept]], cid[q[kept]])))
+            kept, _ = sequential(sig, sig, p, q, similar)
+            p, q = p[kept], q[kept]
+            for one in np.unique(p):
+                others = q[p == one]
+                if len(others) <= 4:
+                    common = np.array([len(np.intersect1d(words[one], words[o], assume_unique=True)) for o in others])
+                else:
+                    e = own_shingles[one]
+                    stop = end[e]
+                    start = np.where(e > 0, end[e - 1], 0)
+                    m = stop - start
+                    where = np.arange(m.sum()) + np.repeat(start - np.cumsum(m) + m, m)
+                    common = np.bincount(having[where], minlength=len(words))[others]
+                others = others[100 * common >= similar * (n[one] + n[others] - common)]
+                found.append(np.stack((np.full(len(others), one), others)))
         a, b = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=arrow)
+        # two components need one link
+        _, once = np.unique(np.sort(np.stack((comp[a], comp[b])), 0), axis=1, return_index=True)
+        return pa.table({"a": cid[a[once]], "b": cid[b[once]]}, schema=arrow)
 
-    return tiles.groupBy("k", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
+    return tiles.groupBy("family", "i", "j").applyInArrow(links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,16 +235,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR, id_col:
     multi = stored(buckets.join(leaders, "k").select("k", "cid", "leader"), "buckets")
     pairs = stored(multi.filter("cid != leader").select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct(), "pairs")
     members = multi.select("cid").distinct()
-    sigs = stored(usable.select("cid", "sig").join(members, "cid", "left_semi").dropDuplicates(["cid"]), "sigs")
+    sigs = stored(usable.select("cid", "sig", "n").join(members, "cid", "left_semi").dropDuplicates(["cid"]), "sigs")
     left = stored(pruned(pairs, sigs, similar), "pruned")
     sided = left.select(F.col("a").alias("cid"), F.col("b").alias("to"), "m").unionByName(left.select(F.col("b").alias("cid"), F.col("a").alias("to"), "m"))
     best = sided.groupBy("cid").agg(F.max(F.struct("m", F.xxhash64("to"), "to"))["to"].alias("to")).select(F.least("cid", "to").alias("a"), F.greatest("cid", "to").alias("b")).distinct()
     first = _link(rows, stored(best, "best"), tops, k, similar)
     labels = stored(components(first), "labels")
-    rest = stored(across(multi.select("k", "cid"), labels, sigs, similar).join(best, ["a", "b"], "left_anti"), "across")
-    if not rest.isEmpty():
-        more = _link(rows, rest, tops, k, similar)
-        labels = stored(components(first.unionByName(more).unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "labels")
+    # families: classes joined by candidates that passed, or by a bucket of more than two that is not one component
+    comps = lambda d: d.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    several = lambda d, by: d.groupBy(by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
+    mixed = several(comps(multi), "k").filter("n > 2").select("k")
+    near = left.select("a", "b").unionByName(multi.join(mixed, "k", "left_semi").select(F.col("cid").alias("a"), F.col("leader").alias("b")).distinct())
+    family = stored(comps(components(near).select(F.col("node").alias("cid"), F.col("comp").alias("family"))), "families")
+    family = stored(family.join(several(family, "family").select("family"), "family", "left_semi").join(sigs, "cid"), "families")
+    sets = stored(full_sets(rows, tops.join(family.select("cid"), "cid", "left_semi"), k), "sets")
+    more = stored(across(family, sets, similar), "across")
+    if not more.isEmpty():
+        labels = stored(components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "labels")
     byclass = tops.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = byclass.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = byclass.join(least, "comp").select("cid", "component_id")
