@@ -198,4 +198,12 @@ SELECT repeat * 4 + o AS task_id, repeat, CAST(rule_count AS INT) AS rule_count,
     "manifest_faults": "SELECT CAST(t AS BIGINT) AS task_id, CASE WHEN t < 3 THEN 'missing' WHEN t = 5 THEN 'duplicate' ELSE 'unexpected' END AS fault FROM range(10) AS a(t) WHERE t < 3 OR t = 5 OR t > 7",
     "gain_histogram": """WITH s AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi, greatest(5, least(30, CAST(floor(sqrt(count(*))) AS INT))) AS b FROM customer), w AS (SELECT lo, b, (hi - lo) / b AS w FROM s)
 SELECT CAST(least(floor((c_acctbal - lo) / w), b - 1) AS BIGINT) AS bin, round(lo + least(floor((c_acctbal - lo) / w), b - 1) * w, 4) AS low, round(lo + (least(floor((c_acctbal - lo) / w), b - 1) + 1) * w, 4) AS high, count(*) AS n FROM customer, w GROUP BY 1, 2, 3""",
+    "split_graphs": """WITH h AS (SELECT c_custkey AS graph_id, row_number() OVER (ORDER BY CAST('0x' || substr(md5('1:' || c_custkey), 1, 12) AS BIGINT), c_custkey) - 1 AS p FROM customer)
+SELECT graph_id, CASE WHEN p < 80 THEN 'fit' WHEN p < 120 THEN 'eval' END AS split FROM h""",
+    "stratified_holdout": """WITH r AS (SELECT c_custkey AS graph_id, c_mktsegment AS label, count(*) OVER (PARTITION BY c_mktsegment) AS n, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('3:' || c_custkey), c_custkey) AS k FROM customer)
+SELECT graph_id, label, k <= CASE WHEN n > 1 THEN least(greatest(round(n * 0.2), 1), n - 1) ELSE 0 END AS held_out FROM r""",
+    "ladder_features": f"""WITH {CHAIN}, d AS (SELECT n.graph_id, n.node_id, count(a.u) AS degree FROM an n LEFT JOIN aa a ON a.graph_id = n.graph_id AND a.u = n.node_id GROUP BY 1, 2),
+s AS (SELECT graph_id, count(*) AS nodes, CAST(sum(degree) // 2 AS BIGINT) AS edges, max(degree) AS max_degree, CAST(sum(degree * (degree - 1) // 2) AS BIGINT) AS wedges FROM d GROUP BY 1)
+SELECT s.*, (SELECT count(*) FROM al WHERE al.graph_id = s.graph_id AND pattern = 'click-click-click') AS clicks, (SELECT count(*) FROM al WHERE al.graph_id = s.graph_id AND pattern = 'view-view-view') AS views FROM s""",
+    "alias_columns": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE 1.5 END AS gain FROM customer",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import accounting, codelength, stats
 from graphloom.operators import costs, graphs, motifs, rewriting
 from graphloom.operators.motifs import GROUP, UNIT, Rule
-from graphloom.plans import oracle
+from graphloom.plans import analysis, oracle
 from graphloom.plans.compressor import MotifCompressor, positive_bits, store
 from graphloom.sources import corpora, files, sinks
 from graphloom.sources.corpora import co_purchase, event_chain, event_flow, order_supplier, read
@@ -535,4 +535,34 @@ def gain_histogram(spark, sf_dir):
     return h.select(F.col("bin").cast("long").alias("bin"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "n")
 
 
+# analysis
+
+
+@query
+def split_graphs(spark, sf_dir):
+    g = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("graph_id"))
+    return analysis.split(g, 80, 40, 1)
+
+
+@query
+def stratified_holdout(spark, sf_dir):
+    g = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("graph_id"), F.col("c_mktsegment").alias("label"))
+    return analysis.stratified_holdout(g, 0.2, 3)
+
+
+@query
+def ladder_features(spark, sf_dir):
+    """Sizes, counts of the two commonest chain classes and graph metrics, one row for each graph."""
+    nodes, edges = event_chain(spark, sf_dir)
+    f = motifs.fingerprint(motifs.occurrences(nodes, edges, (3,))).withColumn("code", pattern3(F.col("code")))
+    rows = analysis.ladder_features(graphs.complexity(nodes, edges), f, ["click-click-click", "view-view-view"])
+    return rows.withColumnsRenamed({"motif_0": "clicks", "motif_1": "views"})
+
+
+@query
+def alias_columns(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("gain"), F.lit(1.5).alias("net_gain"))
+    return analysis.coalesced_columns(c, {"gain": ("net_gain",)})
+
+
 ORACLE_SQL = {k: v for k, v in oracle.SQL.items() if k in QUERIES}
