@@ -21,7 +21,7 @@ def suffixes(t: np.ndarray, depth: int) -> np.ndarray:
         key = (key << np.uint64(9)) | np.roll(t, -i).astype(np.uint64)
     have = PACK
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # the order of equal strings does not matter
         if have >= depth:
             return order
         step = np.empty(n, bool)
@@ -41,40 +41,43 @@ def boundaries(t: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     Symbol 0 separates texts and is never extended over, so the answer holds between suffixes with no 0 in
     their first ``least`` symbols.
     """
-    n = len(t)
+    n, i32 = len(t), np.int32
     last = t[order - 1]  # the symbol before each suffix
-    by = np.argsort(last, kind="stable")
-    lf = np.empty(n, np.int64)
-    lf[by] = np.arange(n)
-    before, after = np.full(n, -1), np.full(n, n)
+    by = np.argsort(last, kind="stable").astype(i32)
+    lf = np.empty(n, i32)
+    lf[by] = np.arange(n, dtype=i32)
+    before, after = np.full(n, -1, i32), np.full(n, n, i32)
     same = last[by[1:]] == last[by[:-1]]
     before[by[1:][same]], after[by[:-1][same]] = by[:-1][same], by[1:][same]
     found = np.zeros(n + 1, bool)
     found[0] = found[n] = True
-    lo, hi = np.zeros(1, np.int64), np.full(1, n)
+    lo, hi = np.zeros(1, i32), np.full(1, n, i32)
     for _ in range(least):
         if not len(lo):
             break
+        alone = hi - lo == 1
+        one = lo[alone]
+        one = lf[one[last[one] > 0]]
+        lo, hi = lo[~alone], hi[~alone]
         size = hi - lo
-        start = np.cumsum(size) - size
-        owner = np.repeat(np.arange(len(lo)), size)
-        at = np.arange(len(owner)) - np.repeat(start - lo, size)
-        c = last[at]
-        ok = c > 0
-        first = ok & (before[at] < lo[owner])
-        final = ok & (after[at] >= hi[owner])
+        start = np.cumsum(size, dtype=i32) - size
+        owner = np.repeat(np.arange(len(lo), dtype=i32), size)
+        at = np.arange(len(owner), dtype=i32) - np.repeat(start - lo, size)
+        ok = last[at] > 0
+        first = ok & (before[at] < np.repeat(lo, size))
+        final = ok & (after[at] >= np.repeat(hi, size))
         f, g = at[first], at[final]
-        f = f[np.argsort(owner[first] * 512 + c[first], kind="stable")]
-        g = g[np.argsort(owner[final] * 512 + c[final], kind="stable")]
-        lo, hi = lf[f], lf[g] + 1
+        f = f[np.argsort(owner[first].astype(np.int64) * 512 + last[f])]
+        g = g[np.argsort(owner[final].astype(np.int64) * 512 + last[g])]
+        lo, hi = np.concatenate((lf[f], one)), np.concatenate((lf[g], one)) + i32(1)
         new = ~found[hi]
         lo, hi = lo[new], hi[new]
         found[hi] = True
     return found[:n]
 
 
-def least_owner(texts: list[bytes], owners: np.ndarray, least: int) -> list[np.ndarray]:
-    """For every text and every start of a string of ``least`` bytes in it: the least owner of a text that has the string."""
+def least_owner(texts: list[bytes], owners: np.ndarray, least: int) -> np.ndarray:
+    """For every text and every start of a string of ``least`` bytes in it, one after the other: the least owner of a text that has the string."""
     size = np.array([len(x) for x in texts])
     t = np.zeros(int(size.sum()) + len(texts), np.uint16)
     start = np.cumsum(size + 1) - size - 1
@@ -94,4 +97,4 @@ def least_owner(texts: list[bytes], owners: np.ndarray, least: int) -> list[np.n
     low = np.minimum.reduceat(who, at)
     out = np.empty(len(t), owners.dtype)
     out[order] = np.repeat(low, np.diff(np.append(at, len(t))))
-    return [out[s : s + max(0, n - least + 1)] for s, n in zip(start.tolist(), size.tolist(), strict=True)]
+    return out[left >= least]

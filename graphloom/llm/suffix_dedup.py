@@ -17,54 +17,73 @@ What crosses the network is packed: one row holds many records, in byte planes.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bwt import least_owner
-from graphloom.llm.common import bound_batches, mix64, stored, table, texts, to_arrow
+from graphloom.llm.common import bound_batches, mix64, table, texts, to_arrow
 
 LEAST = 50
 GRAM = 16
-GROUP_BYTES = 16 << 20  # text in a group of documents, about
-FLUSH_BYTES = 24 << 20  # text that a task cuts at once, about
-BLOCK_BYTES = 1 << 20  # text in one transform, about; a minimizer's segments stay together
+LEVEL = 3  # of compression of what crosses the network
+GROUP_BYTES = 8 << 20  # text in a group of documents, about
+FLUSH_BYTES = 16 << 20  # text that a task cuts at once, about
+CHUNK_BYTES = 1 << 20  # text that is hashed at once, about
+BLOCK_BYTES = 1 << 19  # text in one transform, about; a minimizer's segments stay together
+MINIMIZER = np.uint64((1 << 48) - 1)  # bits of a minimizer that travel; equal strings agree in them, others seldom
 NO_ID = np.iinfo(np.int64).max  # a null id: larger than all others
 BLOB = "kind int, bucket int, data binary"
 
 
 def packed(*columns: np.ndarray, raw: bytes = b"") -> bytes:
-    """Arrays of one length, as byte planes (equal high bytes then compress), and bytes."""
+    """Arrays of one length, as byte planes, and bytes, compressed. The first column comes as differences: it is sorted or nearly so."""
     n = len(columns[0])
-    return b"".join([np.array([n], np.int64).tobytes(), *[np.ascontiguousarray(c).view(np.uint8).reshape(n, -1).T.tobytes() for c in columns], raw])
+    columns = (np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:])
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(n, -1).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([np.array([n], np.int64).tobytes(), *planes, raw]))
 
 
 def unpacked(data: bytes, *types: type) -> tuple:
+    data = zstandard.ZstdDecompressor().decompress(data)
     n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
     for t in types:
         w = np.dtype(t).itemsize
         out.append(np.frombuffer(data, np.uint8, n * w, at).reshape(w, n).T.copy().view(t).ravel())
         at += n * w
+    out[0] = np.cumsum(out[0], dtype=out[0].dtype)
     return (*out, data[at:])
 
 
+def _rotl(x: np.ndarray, r: int) -> np.ndarray:
+    return x << np.uint64(r) | x >> np.uint64(64 - r)
+
+
 def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    return (mix64(ids.view(np.uint64) + np.uint64(7)) % np.uint64(groups)).astype(np.int64)
+    """As pmod(xxhash64(id), groups) in SQL; the constants are those of the public XXH64 for one 8-byte value and seed 42."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = (p5 + np.uint64(42 + 8)) ^ _rotl(ids.view(np.uint64) * p2, 31) * p1
+    h = _rotl(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return np.mod((h ^ h >> np.uint64(32)).view(np.int64), groups)
 
 
 def segments(docs: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, start, strings, minimizer) of every segment."""
     size = np.array([len(d) for d in docs])
-    text = b"".join(docs) + bytes(GRAM)
-    n = len(text) - GRAM
+    text = b"".join(docs) + bytes(16)
+    n = len(text) - 16
     if n < least:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     word = np.ndarray(n + 8, "<u8", text, strides=(1,))
-    h = mix64(word[:n] * np.uint64(0x9E3779B97F4A7C15) + mix64(word[8 : n + 8]))
+    h = mix64(word[:n] * np.uint64(0x9E3779B97F4A7C15) + mix64(word[GRAM - 8 : n + GRAM - 8]))
     del word
     w, have = least - GRAM + 1, 1
     m = h
@@ -83,7 +102,19 @@ def segments(docs: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.
     new = np.ones(len(v), bool)
     new[1:] = (v[1:] != v[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
-    return doc[first], at[first] - (end - size)[doc[first]], np.diff(np.append(first, len(v))), v[first]
+    return doc[first], at[first] - (end - size)[doc[first]], np.diff(np.append(first, len(v))), v[first] & MINIMIZER
+
+
+def chunked(docs: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``segments`` of many documents, some CHUNK_BYTES at a time: it holds a dozen words for each byte."""
+    parts, at, size = [], 0, 0
+    for i, d in enumerate(docs):
+        size += len(d)
+        if size >= CHUNK_BYTES or i == len(docs) - 1:
+            doc, *rest = segments(docs[at : i + 1], least)
+            parts.append((doc + at, *rest))
+            at, size = i + 1, 0
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
 def by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -100,21 +131,30 @@ def by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarra
         yield int(bucket[order[s]]), order[s:e]
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system; workers live on after a stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def _cut(least: int, buckets: int, groups: int, arrow: pa.Schema):
     """Stage 1. kind 0: minimizers for their bucket, with id, start and strings of the segment, and whether
     several of the task's documents have it; kind 1: segments that the task itself knows to be shared, for their group."""
 
     def flush(ids: list, held: list[bytes], turn: int) -> Iterator[pa.RecordBatch]:
-        doc, start, strings, v = segments(held, least)
+        doc, start, strings, v = chunked(held, least)
         if not len(v):
             return
         ids = np.array(ids, np.int64)[doc]
-        order = np.lexsort((ids, v))
+        order = np.argsort(v)
         ids, start, strings, v = ids[order], start[order].astype(np.uint32), strings[order].astype(np.uint32), v[order]
         new = np.concatenate(([True], v[1:] != v[:-1]))
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(v)) - 1
-        many = ids[first] != ids[last]
+        many = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
         # a minimizer that one document has in several segments is sent with each of them
         shared = np.repeat(many, last - first + 1)
         send = np.where(shared, new, True)
@@ -147,6 +187,8 @@ def _cut(least: int, buckets: int, groups: int, arrow: pa.Schema):
                     ids, held, size, turn = [], [], 0, turn + 1
         if held:
             yield from flush(ids, held, turn)
+        del ids, held
+        tidy()
 
     return run
 
@@ -164,16 +206,17 @@ def _shared(groups: int, arrow: pa.Schema):
                 found.append(unpacked(d, np.uint64, np.int64, np.uint32, np.uint32, np.uint8)[:5])
         if found:
             v, ids, start, strings, flag = (np.concatenate(c) for c in zip(*found, strict=True))
-            order = np.lexsort((ids, v))
+            order = np.argsort(v)
             v, ids, start, strings, flag = v[order], ids[order], start[order], strings[order], flag[order]
             first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
             last = np.append(first[1:], len(v)) - 1
-            several = (ids[first] != ids[last]) | (np.maximum.reduceat(flag, first) > 0)
+            several = (np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)) | (np.maximum.reduceat(flag, first) > 0)
             at = np.flatnonzero(np.repeat(several, last - first + 1) & (flag == 0))  # flagged ones went by kind 1
             for g, rows in by_bucket(group_of(ids[at], groups), groups):
                 r = at[rows]
                 group.append(g)
                 data.append(packed(v[r], ids[r], start[r], strings[r]))
+        tidy()
         return pa.table({"grp": group, "data": data}, schema=arrow)
 
     return run
@@ -221,6 +264,7 @@ def _send(least: int, buckets: int, arrow: pa.Schema):
                     bucket.append(b)
                     own = [keys[i][1] for i in r]
                     data.append(packed(w[r], low[r], r.astype(np.uint32), np.array([len(x) for x in own], np.uint32), np.full(len(r), group, np.uint32), raw=b"".join(own)))
+        tidy()
         return pa.table({"kind": kind, "bucket": bucket, "data": data}, schema=arrow)
 
     return run
@@ -250,35 +294,35 @@ def _search(least: int, arrow: pa.Schema):
             owners: dict[int, list[int]] = {}
             for k, (a, _) in enumerate(keys):
                 owners.setdefault(a, []).append(k)
-            least_ids: list[np.ndarray | int] = low.tolist()
+            count = np.array([len(x) for _, x in keys]) - least + 1
+            at = np.cumsum(count) - count
+            least_ids = np.repeat(low, count)  # of every string of every distinct segment
             block: list[int] = []
             held = 0
             for own_keys in [*(x for x in owners.values() if len(x) > 1), None]:
                 if block and (own_keys is None or held >= BLOCK_BYTES):
-                    for k, a in zip(block, least_owner([keys[k][1] for k in block], low[block], least), strict=True):
-                        least_ids[k] = a
+                    found_ids = least_owner([keys[k][1] for k in block], low[block], least)
+                    n = count[block]
+                    least_ids[np.arange(len(found_ids)) + np.repeat(at[block] - np.cumsum(n) + n, n)] = found_ids
                     block, held = [], 0
                 if own_keys:
                     block += own_keys
                     held += sum(len(keys[k][1]) for k in own_keys)
+            new = np.ones(len(least_ids), bool)  # where runs of one id begin, in a segment
+            new[1:] = least_ids[1:] != least_ids[:-1]
+            new[at] = True
+            cut = np.flatnonzero(new)
+            stop, begin = np.append(cut[1:], len(least_ids)), np.searchsorted(cut, at)
+            runs = np.append(begin[1:], len(cut)) - begin
             for g, r in by_bucket(group.astype(np.int64), int(group.max()) + 1):
-                num, begin, stop, low_id = [], [], [], []
-                for i in r.tolist():
-                    a, n = least_ids[which[i]], int(size[i]) - least + 1
-                    if isinstance(a, int):
-                        num.append(number[i])
-                        begin.append(0)
-                        stop.append(n)
-                        low_id.append(a)
-                    else:
-                        cut = np.flatnonzero(np.diff(a, prepend=-1 - a[0]))
-                        num += [number[i]] * len(cut)
-                        begin += cut.tolist()
-                        stop += [*cut[1:].tolist(), n]
-                        low_id += a[cut].tolist()
+                k = which[r]
+                n = runs[k]
+                row = np.arange(n.sum()) + np.repeat(begin[k] - np.cumsum(n) + n, n)
+                base = np.repeat(at[k], n)
                 kinds.append(0)
                 groups.append(g)
-                out.append(packed(np.array(num, np.uint32), np.array(begin, np.uint32), np.array(stop, np.uint32), np.array(low_id, np.int64)))
+                out.append(packed(np.repeat(number[r], n), (cut[row] - base).astype(np.uint32), (stop[row] - base).astype(np.uint32), least_ids[cut[row]]))
+        tidy()
         return pa.table({"kind": kinds, "grp": groups, "data": out}, schema=arrow)
 
     return run
@@ -328,17 +372,13 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     groups = buckets = max(8, -(-total // GROUP_BYTES))
     blob, answer, both = to_arrow(spark, BLOB), to_arrow(spark, "grp int, data binary"), to_arrow(spark, "kind int, grp int, data binary")
     cut = rows.select("id", "text").mapInArrow(_cut(least, buckets, groups, blob), BLOB)
-    shared = stored(cut.groupBy("bucket").applyInArrow(_shared(groups, answer), "grp int, data binary"), "shared")
-
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(group_of(b.column("id").to_numpy(), groups).astype(np.int32))], names=[*b.schema.names, "grp"])
+    shared = cut.groupBy("bucket").applyInArrow(_shared(groups, answer), "grp int, data binary")
 
     kinds = dict(rows.dtypes)
-    grouped = rows.mapInArrow(group, ", ".join([f"`{c}` {k}" for c, k in kinds.items()] + ["grp int"]))
-    sent = grouped.select("grp", "id", "text").groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(_send(least, buckets, blob), BLOB)
-    answers = stored(sent.groupBy("bucket").applyInArrow(_search(least, both), "kind int, grp int, data binary"), "answers")
+    grouped = rows.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    # one plan, so that both uses of the grouped texts share an exchange
+    sent = grouped.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(_send(least, buckets, blob), BLOB)
+    answers = sent.groupBy("bucket").applyInArrow(_search(least, both), "kind int, grp int, data binary")
     schema = ", ".join([f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", "_left string", *[f"`{k}` {kinds[k]}" for k in kept]])
     final = to_arrow(spark, schema)
 
