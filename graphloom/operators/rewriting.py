@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.graphs import adjacency
-
 KEYS = ["eval_id", "graph_id"]
 
 
@@ -103,9 +101,3 @@ def port_histogram(carrier_edges: DataFrame, carrier_nodes: DataFrame) -> DataFr
     rank = carrier_nodes.filter("kind = 'motif'").select(*KEYS, "cid", F.col("label").try_cast("int").alias("rank"))
     ends = carrier_edges.select(*KEYS, F.explode(F.array(F.struct(F.col("src").alias("cid"), F.col("src_port").alias("port")), F.struct(F.col("dst").alias("cid"), F.col("dst_port").alias("port")))).alias("x")).select(*KEYS, "x.cid", "x.port").filter("port is not null")
     return ends.join(rank, [*KEYS, "cid"]).groupBy("rank", "port").agg(F.count("*").alias("n"))
-
-
-def incidence_edges(carrier_edges: DataFrame) -> DataFrame:
-    """The carrier's neighbours in both directions, ports dropped; parallel edges stay."""
-    flat = carrier_edges.withColumnsRenamed({"src": "u", "dst": "v"}).select(*KEYS, "u", "v", "label")
-    return adjacency(flat.withColumn("graph_id", F.struct(*KEYS)).select("graph_id", "u", "v", "label"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 import uuid
 from dataclasses import dataclass, field
 from math import log2
@@ -14,19 +11,16 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import costs, graphs, motifs, rewriting
 from graphloom.operators.motifs import Rule
+from graphloom.runtime import shared_folder
 
 SELECTORS = ("sparse", "per_graph", "all_eligible")
 SELECTIONS = ("best", "best_nonempty", "fixed")
 
 
 def store(df: DataFrame, label: str = "graphs") -> DataFrame:
-    """Written to the session's shared folder (spark.checkpoint.dir) and read again, so that it runs once."""
+    """Written to the shared folder and read again, so that it runs once and a lost executor costs no lineage."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -269,8 +263,3 @@ class MotifCompressor:
         self._candidates = [r.asDict() for r in spark.read.parquet(f"{path}/candidates").orderBy("rank").collect()]
         self._path = [r.asDict() for r in spark.read.parquet(f"{path}/path").orderBy("n_rules").collect()]
         return self
-
-
-def forget(path: str) -> None:
-    if path.startswith("file://") and os.path.isdir(path[7:]):
-        shutil.rmtree(path[7:], ignore_errors=True)

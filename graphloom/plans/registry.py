@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from graphloom.operators import costs, graphs, motifs, rewriting
 from graphloom.operators.motifs import GROUP, UNIT, Rule
 from graphloom.plans import analysis, oracle
 from graphloom.plans.compressor import MotifCompressor, positive_bits, store
+from graphloom.runtime import shared_folder
 from graphloom.sources import corpora, files, sinks
 from graphloom.sources.corpora import co_purchase, event_chain, event_flow, order_supplier, read
 
@@ -141,12 +143,10 @@ def dependency_trees(spark, sf_dir):
 @query
 def tu_round_trip(spark, sf_dir):
     """Written as TU text, read again."""
-    from graphloom.plans.compressor import uuid
-
     nodes, edges = order_supplier(spark, sf_dir)
     ids = nodes.select("graph_id").distinct().withColumn("label", (F.col("graph_id") % 2).cast("int"))
     marker = store(ids, "tu-graphs")
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getConf().get('spark.checkpoint.dir')}/tu-{uuid.uuid4().hex[:8]}"
+    root = f"{shared_folder(spark)}/tu-{uuid.uuid4().hex[:8]}"
     sinks.write_tu(root, "C", marker, nodes, edges)
     t = files.load_tu(spark, root, "C")
     n = t["nodes"].groupBy("graph_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("label") == "S").alias("suppliers"))

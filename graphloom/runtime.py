@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -25,3 +27,22 @@ def ship(spark: SparkSession) -> None:
                     z.write(os.path.join(d, n), os.path.join("graphloom", os.path.relpath(os.path.join(d, n), root)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+_made: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+        _made.append(root)
+    return root.rstrip("/")
+
+
+@atexit.register
+def _forget() -> None:
+    for d in _made:
+        shutil.rmtree(d.removeprefix("file://"), ignore_errors=True)

@@ -46,18 +46,21 @@ def tu_directory(spark: SparkSession, root: str, name: str) -> str:
     return min(found, key=lambda d: (d.count("/"), d))
 
 
-def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(n, cells): the file's lines that are not blank, numbered from 0, split at commas or blanks.
+def numbered_text(spark: SparkSession, path: str) -> DataFrame:
+    """(n, value): the lines that are not blank, numbered from 0 through the file, or the files of a folder by name.
 
-    A line's place in the file is its task's place and its place in the task: counts of tasks, few rows,
-    give the offsets.
+    A line's place is its split's place and its place there. Splits are few; their counts give the offsets.
     """
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("m"), F.trim(F.regexp_replace("value", ",", " ")).alias("t")).filter("t != ''")
-    raw = raw.withColumn("part", F.shiftright("m", 33))
-    sizes = raw.groupBy("part").agg(F.count("*").alias("c"))
-    before = sizes.select("part", F.coalesce(F.sum("c").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    at = F.row_number().over(W.partitionBy("part").orderBy("m")) - 1
-    return raw.withColumn("at", at).join(F.broadcast(before), "part").select((F.col("at") + F.col("before")).cast("long").alias("n"), F.split("t", r"\s+").alias("cells"))
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")).filter("trim(value) != ''")
+    sizes = raw.groupBy("f", "b").agg(F.count("*").alias("c"))
+    before = sizes.select("f", "b", F.coalesce(F.sum("c").over(W.orderBy("f", "b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    at = F.row_number().over(W.partitionBy("f", "b").orderBy("m")) - 1
+    return raw.withColumn("at", at).join(F.broadcast(before), ["f", "b"]).select((F.col("at") + F.col("before")).cast("long").alias("n"), "value")
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(n, cells): numbered lines split at commas or blanks."""
+    return numbered_text(spark, path).select("n", F.split(F.trim(F.regexp_replace("value", ",", " ")), r"\s+").alias("cells"))
 
 
 def label_text(cells: Column) -> Column:
@@ -129,7 +132,7 @@ JSONL = "num_nodes INT, node_feat ARRAY<ARRAY<INT>>, edge_index ARRAY<ARRAY<INT>
 
 def load_jsonl(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """graphs (graph_id, num_nodes, y), nodes, arcs of molecules in JSON lines; edge_index is 2 x E or E x 2. graph_id is the line's number."""
-    lines = numbered_lines(spark, path)
+    lines = numbered_text(spark, path).withColumnRenamed("n", "graph_id")
     r = lines.select("graph_id", F.from_json("value", JSONL).alias("r")).select("graph_id", "r.*")
     wide = (F.size("edge_index") == 2) & ((F.size(F.col("edge_index")[0]) != 2) | (F.size("edge_attr") == 2))
     pairs = F.when(wide, F.arrays_zip(F.col("edge_index")[0], F.col("edge_index")[1])).otherwise(F.transform("edge_index", lambda p: F.struct(p[0].alias("0"), p[1].alias("1"))))
@@ -139,13 +142,6 @@ def load_jsonl(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"graphs": r.select("graph_id", "num_nodes", F.col("y")[0].alias("y")), "nodes": nodes, "arcs": arcs}
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.text(path).filter("trim(value) != ''").select(F.monotonically_increasing_id().alias("m"), "value").withColumn("part", F.shiftright("m", 33))
-    sizes = raw.groupBy("part").agg(F.count("*").alias("c"))
-    before = sizes.select("part", F.coalesce(F.sum("c").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return raw.withColumn("at", F.row_number().over(W.partitionBy("part").orderBy("m")) - 1).join(F.broadcast(before), "part").select((F.col("at") + F.col("before")).cast("long").alias("graph_id"), "value")
-
-
 def arc_faults(graphs: DataFrame, nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     """(graph_id, fault, n): ids out of range, loops, arcs without the arc back, edges not given exactly twice or with two labels, wrong node counts."""
     name = lambda d, f: d.select("graph_id", F.lit(f).alias("fault"))

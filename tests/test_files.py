@@ -35,6 +35,19 @@ def test_tu_legacy_names_and_degrees(spark, tmp_path):
     assert [r.label for r in t["nodes"].orderBy("node_id").collect()] == ["1", "2", "1", "1", "1"]
 
 
+def test_numbers_go_through_the_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    lines = [f"{i}, {i % 7}" for i in range(500)]
+    for k, (a, b) in enumerate([(0, 3), (3, 400), (400, 420), (420, 500)]):
+        (tmp_path / "t" / f"part-{k}.txt").write_text("\n".join(lines[a:b]) + "\n\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = files.numbered(spark, str(tmp_path / "t")).orderBy("n").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.n for r in got] == list(range(500)) and [r.cells for r in got] == [x.split(", ") for x in lines]
+
+
 @pytest.mark.parametrize("edges", ["1, 1\n", "1, 4\n", "7, 8\n"])
 def test_tu_faults(spark, tmp_path, edges):
     tu(tmp_path, edges=edges)
