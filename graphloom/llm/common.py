@@ -6,8 +6,6 @@ they are called, never reach an operator's own names.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,39 +14,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.runtime import ship
+from graphloom.runtime import shared_folder, ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 ROWS_PER_BATCH = 1000
 
-_made: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        _made.append(root)
-    return root.rstrip("/")
-
-
-@atexit.register
-def _forget() -> None:
-    import shutil
-
-    for d in _made:
-        shutil.rmtree(d.removeprefix("file://"), ignore_errors=True)
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
