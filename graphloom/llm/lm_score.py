@@ -3,8 +3,8 @@
 Counts of words come from every training document. Words are held as 64-bit hashes. Of the counted
 words, those over a count (at most TABLE_WORDS) go to the executors as a hash table of fixed size; the
 others, and words never seen, meet their counts in a shuffled join, so nothing that is broadcast grows
-with the corpus. The recurrent weights are fitted by rounds of local training and averaging over a
-fixed share of all training documents, so what is learnt from grows with the corpus.
+with the corpus. The recurrent weights are fitted by rounds of local training and averaging; the rounds
+share out the training documents, so that each of them is learnt from once.
 """
 
 from __future__ import annotations
@@ -22,8 +22,7 @@ from graphloom.llm.gru import BANDS, CLASS_WORDS, CLASSES, Gru, Trainer
 from graphloom.llm.gru import score as score_texts
 
 TABLE_WORDS = 1_000_000  # words whose counts every executor holds, at most
-SHARE = 20  # each round of training takes one in so many training documents
-ROUNDS = 2
+SHARE = 4  # each round of training takes one in so many training documents, and there are as many rounds
 WARM_DOCS = 400  # learnt from by one task at first, at most: a common start for the rounds
 WARM_EPOCHS = 3
 GATHER = 1_500_000  # tokens that a task holds at once, about
@@ -156,15 +155,15 @@ def lookup(sent) -> Lookup:
     return _lookup[1]
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, sent, share: int, rounds: int) -> bytes:
-    """Weights. ``docs``: id, text, training documents only; hashes of ids deal them to warm start and rounds."""
+def train(docs: DataFrame, vocabulary: Vocabulary, sent, share: int, rounds: int | None = None) -> bytes:
+    """Weights. ``docs``: id, text, training documents only; hashes of ids deal them to warm start and rounds, ``share`` of these if not given, which take in every document."""
     spark = docs.sparkSession
     bucket = F.pmod(F.xxhash64(F.lit(41), F.col("id")), F.lit(share))
     key = F.xxhash64(F.lit(43), F.col("id"))
     warm = docs.filter(bucket == share - 1).select("id", key.alias("o")).orderBy("o", "id").limit(WARM_DOCS)
     warm = docs.join(F.broadcast(warm.select("id").distinct()), "id").withColumn("o", key).repartition(1).sortWithinPartitions("o", "text").select("text")
     weights = averaged(warm, vocabulary, sent, vocabulary.model().dump(), WARM_EPOCHS)
-    for r in range(rounds):
+    for r in range(share if rounds is None else rounds):
         weights = averaged(docs.filter(bucket == r % share).select("text"), vocabulary, sent, weights, 1)
     return weights
 
@@ -257,7 +256,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, sent, weights: bytes) -> Data
     return docs.mapInArrow(run, SCORED)
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, table_words: int = TABLE_WORDS, share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, table_words: int = TABLE_WORDS, share: int = SHARE, rounds: int | None = None) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
     Null texts are empty, that is an end alone. Null ids fall in fold 0 and are learnt from unless that is

@@ -130,6 +130,20 @@ def test_model_learns(spark, documents, nothing):
     assert lm_score.lm_score(nothing).isEmpty()
 
 
+def test_every_training_document_is_learnt_from(spark, documents, monkeypatch):
+    seen = Counter()
+
+    def averaged(docs, vocabulary, sent, start, epochs):
+        if epochs == 1:
+            seen.update(r.text for r in docs.collect())
+        return start
+
+    monkeypatch.setattr(lm_score, "averaged", averaged)
+    rows = [(i, f"text {i}") for i in range(200)] + [(None, "no id")]
+    lm_score.lm_score(documents(rows)).collect()
+    assert seen == Counter(t for i, t in rows if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1)
+
+
 def jaccard_components(rows, k, similar=80):
     sets = {}
     for i, t in rows:
