@@ -1,11 +1,13 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import glob
+import hashlib
 import math
 import os
 from decimal import Decimal
 
 import duckdb
+import numpy as np
 import pytest
 
 from graphloom.plans import registry
@@ -52,3 +54,13 @@ def test_path(spark):
     r = registry.QUERIES["compressor_path"](spark, SF).orderBy("n_rules").collect()
     assert [x.n_rules for x in r] == list(range(len(r)))
     assert r[0].net_savings_bits == -1
+
+
+def test_bootstrap_takes_every_supplier(spark, tmp_path):
+    value = [float(i * 37 % 101) + (1000 if i >= 100 else 0) for i in range(130)]
+    spark.createDataFrame([(i + 1, v) for i, v in enumerate(value)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = registry.QUERIES["bootstrap_ci"](spark, str(tmp_path)).first()
+    n = len(value)
+    means = [sum(value[int(hashlib.md5(f"3:{r}:{j}".encode()).hexdigest()[:8], 16) % n] for j in range(n)) / n for r in range(200)]
+    want = (sum(value) / n, *np.quantile(means, (0.025, 0.975)))
+    assert (got.estimate, got.lower, got.upper) == pytest.approx(want, abs=1e-4)
