@@ -1,6 +1,6 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block is a line. Template tokens are ordered by their frequency over all documents, rarest first. A
+A block is a line, or, across line ends, as many tokens as the template has. Template tokens are ordered by their frequency over all documents, rarest first. A
 block meets a template if it holds at least ``threshold`` of the template's distinct tokens, a of them.
 Both then share a token of the template's prefix (all but the a-1 most frequent tokens), the block has
 a tokens at least, and at every shared token enough may still follow on both sides; what passes these
@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,7 @@ class Index:
     def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], threshold: float):
         sets = [(sorted(set(block_tokens(t.encode())), key=lambda w: (frequency.get(w, 0), w)), label) for t, label in templates.items()]
         self.sets = [(s, frozenset(s), label, max(1, math.ceil(threshold * len(s) - 1e-9))) for s, label in sets if s]
+        self.sizes = [n for t in templates if (n := len(block_tokens(t.encode())))]
         self.place = {w: i for i, w in enumerate(sorted({w for s, *_ in self.sets for w in s}, key=lambda w: (frequency.get(w, 0), w)))}
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for k, (s, _, _, least) in enumerate(self.sets):
@@ -74,6 +76,22 @@ class Index:
                 yield label, n / len(s)
 
 
+    def across(self, words: list[bytes], ends: Iterable[int]) -> Iterator[tuple[str, float]]:
+        """Matches of windows over line ends; ``ends``: how many of the words stand before each."""
+        most = max(self.sizes, default=1) - 1
+        for p in ends:
+            near = words[max(0, p - most) : p + most]
+            if self.rare.isdisjoint(near):
+                continue
+            for k in {k for w in near for k, _ in self.prefix.get(w, ())}:
+                _, whole, label, least = self.sets[k]
+                n = self.sizes[k]
+                if len(whole.intersection(near)) >= least:
+                    best = max((len(whole.intersection(words[i : i + n])) for i in range(max(0, p - n + 1), p)), default=0)
+                    if best >= least:
+                        yield label, best / len(whole)
+
+
 def token_frequency(docs: DataFrame, tokens: frozenset[bytes]) -> dict[bytes, int]:
     """In how many documents each of these few tokens stands; every document is read."""
     bound_batches(docs.sparkSession)
@@ -114,10 +132,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, phra
                     at = line.find(phrase, at + 1)
         labels, score = set(base), float(bool(base))
         if not index.rare.isdisjoint(words):
-            for block in text.split(b"\n"):
-                for label, share in index.matches(block_tokens(block)):
-                    labels.add(label)
-                    score = max(score, share)
+            blocks = [block_tokens(b) for b in text.split(b"\n")]
+            ends = sorted({*accumulate(map(len, blocks))} - {0, len(words)})
+            for label, share in chain(*map(index.matches, blocks), index.across(words, ends)):
+                labels.add(label)
+                score = max(score, share)
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
     names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

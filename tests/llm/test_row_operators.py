@@ -144,6 +144,19 @@ def test_licenses(spark, documents, edges, nothing):
     assert len(licenses.scan_licenses(edges).collect()) == len(EDGES) and licenses.scan_licenses(nothing).isEmpty()
 
 
+def test_wrapped_notices(spark, documents):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    rows = [
+        (1, bsd), (2, "x\n" + bsd.replace(" ", "\n * ")), (3, "# Licensed under the Apache\n#   License, Version 2.0"), (4, "Some text. Licensed under the Mozilla Public\n\nLicense, Version 2.0. More."),
+        (5, "der mit\nEin Satz von vielen Worten.\nLicensed under the Apache License, Version 2.0."), (6, "all rights\nare long and wide here, and\nreserved"),
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(documents(rows)).collect()}
+    assert got[1] == got[2] == ("bsd", 1.0)
+    assert got[3] == got[5] == ("apache-2", 1.0)
+    assert "mpl-2" in got[4][0].split(",") and got[4][1] == 1.0
+    assert got[6] == ("", 0.0)
+
+
 def test_filters_lose_nothing():
     random.seed(9)
     vocab = [f"t{i}" for i in range(12)]
