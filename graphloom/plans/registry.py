@@ -419,7 +419,7 @@ def cost_decomposition(spark, sf_dir):
 def compressor_path(spark, sf_dir):
     """Fitted dictionary prefixes of the event flows."""
     nodes, edges = event_flow(spark, sf_dir)
-    return MotifCompressor(max_candidates=8, n_rules=3, min_rule_savings_bits=float("-inf")).fit(nodes, edges).path_frame(spark)
+    return MotifCompressor(n_rules=3, min_rule_savings_bits=float("-inf")).fit(nodes, edges).path_frame(spark)
 
 
 @query
@@ -428,7 +428,7 @@ def frozen_transform(spark, sf_dir):
     nodes, edges = event_flow(spark, sf_dir)
     even = lambda d: d.filter("graph_id % 2 = 0")
     odd = lambda d: d.filter("graph_id % 2 = 1")
-    model = MotifCompressor(max_candidates=8, n_rules=2, min_rule_savings_bits=float("-inf"), dictionary_selection="fixed").fit(even(nodes), even(edges))
+    model = MotifCompressor(n_rules=2, min_rule_savings_bits=float("-inf"), dictionary_selection="fixed").fit(even(nodes), even(edges))
     return model.transform(odd(nodes), odd(edges), forced=True).per_graph
 
 

@@ -64,3 +64,18 @@ def test_bootstrap_takes_every_supplier(spark, tmp_path):
     means = [sum(value[int(hashlib.md5(f"3:{r}:{j}".encode()).hexdigest()[:8], 16) % n] for j in range(n)) / n for r in range(200)]
     want = (sum(value) / n, *np.quantile(means, (0.025, 0.975)))
     assert (got.estimate, got.lower, got.upper) == pytest.approx(want, abs=1e-4)
+
+
+@pytest.mark.parametrize("name", ["compressor_path", "frozen_transform"])
+def test_every_class_is_priced(spark, monkeypatch, name):
+    class Stop(Exception):
+        pass
+
+    def top(support, most, *least):
+        raise Stop(most, support.count())
+
+    monkeypatch.setattr("graphloom.plans.compressor.motifs.top_motifs", top)
+    with pytest.raises(Stop) as e:
+        registry.QUERIES[name](spark, SF)
+    most, classes = e.value.args
+    assert most >= classes > 8
