@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from graphloom.runtime import shared_folder, ship
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 ROWS_PER_BATCH = 1000
+BYTES_PER_BATCH = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +39,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ROWS_PER_BATCH rows, so that a Python worker holds few long texts at once; ships the package."""
+    """Arrow batches of at most ROWS_PER_BATCH rows and about BYTES_PER_BATCH bytes, so that a Python worker holds few long texts at once; ships the package.
+
+    The session keeps these settings: plans read them when they run. Smaller ones of the session stay.
+    """
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ROWS_PER_BATCH or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(ROWS_PER_BATCH))
+    for key, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < _number(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _number(size: str) -> int:
+    """Of a setting like 256MB or 1000."""
+    digits = size.lower().rstrip("bkmgt")
+    return int(digits) << 10 * " kmgt".index(size.lower().rstrip("b")[-1]) if size.lower().rstrip("b") != digits else int(digits)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -96,19 +108,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHash(dict):
-    """Word (bytes) to a stable 64-bit hash, remembered up to a bound."""
+    """Word (bytes) to a stable 64-bit hash, remembered up to a bound, and not if it is long."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 400_000, longest: int = 64):
         super().__init__()
-        self.limit = limit
+        self.limit, self.longest = limit, longest
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h
+        if len(word) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -3,9 +3,13 @@
 Words fall into classes. The most frequent words form the neural classes, whose members are told apart
 by a softmax over the state; the end of a text is a class of its own; the other words form bands by
 count, inside which shares are fixed by the counts. The class comes from a softmax over the state. So
-the model gives every token a probability, unseen words included. Training is truncated
+the model gives every token a probability, unseen words included. As input every word has a vector: a
+frequent one its own, the others one for their band and hash bucket. Training is truncated
 backpropagation through windows; the state is carried from window to window, in training and scoring,
 and set to zero where a text starts.
+
+Tokens are 16-bit codes: 0 the end, then BANDS x BUCKETS codes of other words, then the frequent words by
+rank, then the start.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ HIDDEN = 16
 CLASS_WORDS = 64
 CLASSES = 48
 BANDS = 20
+BUCKETS = 256
+SAFE = 60.0  # logits up to here need no shift before exp
 
 
 class Gru:
@@ -25,21 +31,19 @@ class Gru:
 
     names = ("G", "U", "Wc", "bc", "Wo", "bo")
 
-    def __init__(self, neural: int, bands: int, hidden: int = HIDDEN, members: int = CLASS_WORDS, seed: int = 1):
+    def __init__(self, neural: int, bands: int = BANDS, buckets: int = BUCKETS, hidden: int = HIDDEN, members: int = CLASS_WORDS, seed: int = 1):
         rng = np.random.default_rng(seed)
         f = np.float32
-        self.neural, self.members, self.hidden = neural, members, hidden
-        self.classes = 1 + bands + neural  # the end, bands, neural classes
-        self.inputs = self.classes - neural + neural * members + 1  # and the start
-        self.G = (rng.standard_normal((self.inputs, 3 * hidden)) * 0.1).astype(f)
+        self.neural, self.members, self.hidden, self.buckets = neural, members, hidden, buckets
+        self.plain = 1 + bands  # the end and the bands
+        self.classes = self.plain + neural
+        self.words = 1 + bands * buckets  # the first frequent word
+        self.start = self.words + neural * members
+        self.G = (rng.standard_normal((self.start + 1, 3 * hidden)) * 0.1).astype(f)
         self.U = (rng.standard_normal((hidden, 3 * hidden)) / np.sqrt(hidden)).astype(f)
         self.Wc, self.bc = (rng.standard_normal((hidden, self.classes)) * 0.1).astype(f), np.zeros(self.classes, f)
         self.Wo, self.bo = (rng.standard_normal((neural, hidden, members)) * 0.1).astype(f), np.zeros((neural, members), f)
 
-    @property
-    def start(self) -> int:
-        return self.inputs - 1
-
     def dump(self) -> bytes:
         return b"".join(getattr(self, n).tobytes() for n in self.names)
 
@@ -52,73 +56,92 @@ class Gru:
         return self
 
     def class_of(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and member of input tokens: plain classes come first, then neural words in order."""
-        plain = self.classes - self.neural
-        over = token - plain
-        return np.where(over < 0, token, plain + over // self.members), np.where(over < 0, 0, over % self.members)
+        """Class and member of tokens."""
+        token = token.astype(np.int32)
+        over = token - self.words
+        cls = np.where(over < 0, (token + self.buckets - 1) // self.buckets, self.plain + over // self.members)
+        return cls, np.where(over < 0, 0, over % self.members)
 
     def run(self, h: np.ndarray, x: np.ndarray, fresh: np.ndarray, kept: list | None = None) -> np.ndarray:
-        """States after each of x[t], from state h; fresh[t]: the lane starts a text at t."""
+        """States after each of x[t], from state h; fresh[t]: the lane starts a text at t. Gates are tanh(a)/2 + 1/2."""
         n = self.hidden
         out = np.empty((*x.shape, n), np.float32)
+        gx = self.G[x]
+        half, some = np.float32(0.5), fresh.any(1)
         for t in range(len(x)):
-            if fresh[t].any():
+            if some[t]:
                 h = h * ~fresh[t][:, None]
-            gx, gh = self.G[x[t]], h @ self.U
-            zr = 0.5 * np.tanh(0.5 * (gx[:, : 2 * n] + gh[:, : 2 * n])) + 0.5
+            gh = h @ self.U
+            zr = gx[t, :, : 2 * n] + gh[:, : 2 * n]
+            np.tanh(zr, out=zr)
+            zr *= half
+            zr += half
             z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(gx[:, 2 * n :] + r * gh[:, 2 * n :])
+            new = r * gh[:, 2 * n :]
+            new += gx[t, :, 2 * n :]
+            np.tanh(new, out=new)
             if kept is not None:
-                kept.append((h, z, r, new, gh[:, 2 * n :]))
-            h = new + z * (h - new)
-            out[t] = h
+                kept.append((h, zr, new, gh))
+            h = np.subtract(h, new, out=out[t])
+            h *= z
+            h += new
         return out
 
     def log_probs(self, h: np.ndarray, token: np.ndarray, grads: dict | None = None) -> np.ndarray:
         """Natural log-probability of each token's class, and of the member in neural classes; with ``grads``, also their gradients."""
         cls, member = self.class_of(token)
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        bounds = np.searchsorted(cls[order], np.arange(self.plain, self.classes + 1))
+        h, cls, member = h[order], cls[order], member[order]  # by class from here on
         at = np.arange(len(token))
-        e = h @ self.Wc + self.bc
-        e -= e.max(1, keepdims=True)
-        p = np.exp(e)
-        s = p.sum(1, keepdims=True)
-        out = e[at, cls] - np.log(s[:, 0])
+        done, p = self._softmax(h, self.Wc, self.bc, at, cls, grads is not None)
         if grads is not None:
-            p /= s
-            p[at, cls] -= 1
             grads["Wc"], grads["bc"] = h.T @ p, p.sum(0)
-            grads["h"] = p @ self.Wc.T
+            back = p @ self.Wc.T
             grads["Wo"], grads["bo"] = np.zeros_like(self.Wo), np.zeros_like(self.bo)
-        plain = self.classes - self.neural
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(plain, self.classes + 1))
         for c in range(self.neural):
-            rows = order[bounds[c] : bounds[c + 1]]
-            if not len(rows):
+            a, b = bounds[c], bounds[c + 1]
+            if a == b:
                 continue
-            hc, k = h[rows], np.arange(len(rows))
-            e = hc @ self.Wo[c] + self.bo[c]
-            e -= e.max(1, keepdims=True)
-            p = np.exp(e)
-            s = p.sum(1, keepdims=True)
-            out[rows] += e[k, member[rows]] - np.log(s[:, 0])
+            hc = h[a:b]
+            more, p = self._softmax(hc, self.Wo[c], self.bo[c], at[: b - a], member[a:b], grads is not None)
+            done[a:b] += more
             if grads is not None:
-                p /= s
-                p[k, member[rows]] -= 1
                 grads["Wo"][c], grads["bo"][c] = hc.T @ p, p.sum(0)
-                grads["h"][rows] += p @ self.Wo[c].T
+                back[a:b] += p @ self.Wo[c].T
+        out = np.empty_like(done)
+        out[order] = done
+        if grads is not None:
+            grads["h"] = np.empty_like(back)
+            grads["h"][order] = back
         return out
 
+    @staticmethod
+    def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, target: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probabilities of targets; with ``slope``, probabilities less the targets' ones."""
+        e = h @ w
+        e += b
+        if e.max() > SAFE or e.min() < -SAFE:
+            e -= e.max(1, keepdims=True)
+        done = e[at, target]
+        np.exp(e, out=e)
+        s = e @ np.ones(e.shape[1], np.float32)
+        done -= np.log(s)
+        if slope:
+            e *= (1 / s)[:, None]
+            e[at, target] -= 1
+        return done, e
+
 
-def lanes(texts: list[np.ndarray], wide: int) -> list[list[int]]:
+def lanes(sizes: list[int], wide: int) -> list[list[int]]:
     """Texts dealt to at most ``wide`` lanes of like length, longest lane first."""
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    heap = [(0, k) for k in range(min(wide, len(texts)))]
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    heap = [(0, k) for k in range(min(wide, len(sizes)))]
     out: list[list[int]] = [[] for _ in heap]
     for i in order:
         n, k = heapq.heappop(heap)
         out[k].append(i)
-        heapq.heappush(heap, (n + len(texts[i]), k))
+        heapq.heappush(heap, (n + sizes[i], k))
     return [out[k] for _, k in sorted(heap, key=lambda x: -x[0])]
 
 
@@ -127,25 +150,31 @@ def streams(model: Gru, texts: list[np.ndarray], wide: int, window: int):
 
     ``texts``: tokens of each text, the end included. Rows of padding have text index -1.
     """
-    dealt = lanes(texts, wide)
+    sizes = [len(t) for t in texts]
+    dealt = lanes(sizes, wide)
+    if not dealt:
+        return
     flat = [np.concatenate([texts[i] for i in lane]) for lane in dealt]
-    owner = [np.repeat(np.array(lane), [len(texts[i]) for i in lane]) for lane in dealt]
     length = np.array([len(f) for f in flat])
-    for t in range(0, length.max(initial=0), window):
+    whole = -(-int(length[0]) // window) * window
+    # lanes beside each other, time first; padded at the end
+    y = np.zeros((whole, len(flat)), np.uint16)
+    own = np.full((whole, len(flat)), -1, np.int32)
+    for k, (f, lane) in enumerate(zip(flat, dealt, strict=True)):
+        y[: len(f), k] = f
+        own[: len(f), k] = np.repeat(np.array(lane, np.int32), [sizes[i] for i in lane])
+    x = np.empty_like(y)
+    x[0], x[1:] = model.start, y[:-1]
+    fresh = np.ones(own.shape, bool)
+    fresh[1:] = own[1:] != own[:-1]
+    x[fresh] = model.start
+    for t in range(0, whole, window):
         live = int((length > t).sum())
-        w = min(window, int(length[0]) - t)
-        y, own, x, fresh = np.zeros((w, live), np.int32), np.full((w, live), -1), np.full((w, live), model.start, np.int32), np.zeros((w, live), bool)
-        for k in range(live):
-            part, o = flat[k][t : t + w], owner[k][t : t + w]
-            m = len(part)
-            y[:m, k], own[:m, k] = part, o
-            before = np.concatenate(([flat[k][t - 1] if t else model.start], part[:-1]))
-            first = o != np.concatenate(([owner[k][t - 1] if t else -1], o[:-1]))
-            x[:m, k], fresh[:m, k] = np.where(first, model.start, before), first
-        yield x, y, fresh, own
-
-
-def score(model: Gru, texts: list[np.ndarray], wide: int = 256, window: int = 64) -> np.ndarray:
+        part = slice(t, min(t + window, int(length[0])))
+        yield x[part, :live], y[part, :live], fresh[part, :live], own[part, :live]
+
+
+def score(model: Gru, texts: list[np.ndarray], wide: int = 512, window: int = 32) -> np.ndarray:
     """Natural log-probability of the classes and neural members of each whole text."""
     total = np.zeros(len(texts))
     h = np.zeros((0, model.hidden), np.float32)
@@ -163,49 +192,71 @@ class Trainer:
     """Adagrad over windows; a lane's state enters the next window, gradients do not."""
 
     def __init__(self, model: Gru, rate: float = 0.08):
-        self.model, self.rate = model, rate
+        self.model, self.rate = model, np.float32(rate)
         self.seen = {n: np.full_like(getattr(model, n), 1e-3) for n in model.names}
 
     def step(self, name: str, grad: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
         s = self.seen[name][rows] + grad * grad
         self.seen[name][rows] = s
-        getattr(self.model, name)[rows] -= self.rate * grad / np.sqrt(s)
+        grad *= self.rate
+        grad /= np.sqrt(s)
+        getattr(self.model, name)[rows] -= grad
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, ok: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+        """Gradients by parameter (that of G by input row, with the rows), and the last states."""
+        m, n = self.model, self.model.hidden
+        kept: list = []
+        states = m.run(h, x, fresh, kept)
+        g: dict = {}
+        full = bool(ok.all())
+        m.log_probs(states.reshape(-1, n) if full else states[ok], y.reshape(-1) if full else y[ok], g)
+        if full:
+            dh = g.pop("h").reshape(states.shape)
+        else:
+            dh = np.zeros_like(states)
+            dh[ok] = g.pop("h")
+        dgx, dgh, hp = np.empty((*x.shape, 3 * n), np.float32), np.empty((*x.shape, 3 * n), np.float32), np.empty_like(states)
+        carry, back = np.zeros(h.shape, np.float32), np.ascontiguousarray(m.U.T)
+        two, some = np.float32(2), fresh.any(1)
+        for t in range(len(x) - 1, -1, -1):
+            hp[t], zr, new, gh = kept[t]
+            z, r, gx = zr[:, :n], zr[:, n:], dgx[t]
+            d = dh[t]
+            d += carry
+            dn = (1 - z) * d
+            dn *= 1 - new * new
+            gx[:, 2 * n :] = dn
+            np.multiply(d * two, hp[t] - new, out=gx[:, :n])
+            np.multiply(dn * two, gh[:, 2 * n :], out=gx[:, n : 2 * n])
+            gx[:, : 2 * n] *= zr * (1 - zr)
+            dgh[t, :, : 2 * n] = gx[:, : 2 * n]
+            np.multiply(dn, r, out=dgh[t, :, 2 * n :])
+            carry = dgh[t] @ back
+            d *= z
+            carry += d
+            if some[t]:
+                carry *= ~fresh[t][:, None]
+        g["U"] = hp.reshape(-1, n).T @ dgh.reshape(-1, 3 * n)
+        flat = x.reshape(-1)
+        order = np.argsort(flat, kind="stable")
+        sorted_x = flat[order]
+        at = np.flatnonzero(np.concatenate(([True], sorted_x[1:] != sorted_x[:-1])))
+        g["G"] = np.add.reduceat(dgx.reshape(-1, 3 * n)[order], at)
+        return g, sorted_x[at], states[-1]
 
-    def learn(self, texts: list[np.ndarray], wide: int = 64, window: int = 32) -> int:
+    def learn(self, texts: list[np.ndarray], wide: int = 128, window: int = 16) -> int:
         """Tokens learnt from."""
-        m, n, tokens = self.model, self.model.hidden, 0
-        h = np.zeros((0, n), np.float32)
+        m, tokens = self.model, 0
+        h = np.zeros((0, m.hidden), np.float32)
         for x, y, fresh, own in streams(m, texts, wide, window):
             live = x.shape[1]
-            h = h[:live] if len(h) else np.zeros((live, n), np.float32)
-            kept: list = []
-            states = m.run(h, x, fresh, kept)
-            h = states[-1]
+            h = h[:live] if len(h) else np.zeros((live, m.hidden), np.float32)
             ok = own >= 0
-            g: dict = {}
-            m.log_probs(states[ok], y[ok], g)
+            g, rows, h = self.gradients(x, y, fresh, ok, h)
             count = int(ok.sum())
             tokens += count
-            dh = np.zeros_like(states)
-            dh[ok] = g.pop("h")
-            dgx, dgh = np.empty((*x.shape, 3 * n), np.float32), np.empty((*x.shape, 3 * n), np.float32)
-            carry = np.zeros((live, n), np.float32)
-            for t in range(len(x) - 1, -1, -1):
-                hp, z, r, new, ghn = kept[t]
-                d = dh[t] + carry
-                dn = d * (1 - z) * (1 - new * new)
-                dz = d * (hp - new) * z * (1 - z)
-                dr = dn * ghn * r * (1 - r)
-                dgx[t] = np.concatenate((dz, dr, dn), 1)
-                dgh[t] = np.concatenate((dz, dr, dn * r), 1)
-                carry = (d * z + dgh[t] @ m.U.T) * ~fresh[t][:, None]
-            hp = np.stack([k[0] for k in kept])
             scale = np.float32(1 / np.sqrt(count))
-            self.step("U", hp.reshape(-1, n).T @ dgh.reshape(-1, 3 * n) * scale)
-            flat = x.ravel()
-            order = np.argsort(flat, kind="stable")
-            rows, at = np.unique(flat[order], return_index=True)
-            self.step("G", np.add.reduceat(dgx.reshape(-1, 3 * n)[order], at) * scale, rows)
             for name, grad in g.items():
-                self.step(name, grad * scale)
+                grad *= scale
+                self.step(name, grad, rows if name == "G" else slice(None))
         return tokens

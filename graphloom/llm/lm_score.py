@@ -3,8 +3,12 @@
 Counts of words come from every training document. Words are held as 64-bit hashes. Of the counted
 words, those over a count (at most TABLE_WORDS) go to the executors as a hash table of fixed size; the
 others, and words never seen, meet their counts in a shuffled join, so nothing that is broadcast grows
-with the corpus. The recurrent weights are fitted by rounds of local training and averaging; the rounds
-share out the training documents, so that each of them is learnt from once.
+with the corpus. One pass turns every text into codes, which training and scoring read.
+
+Every training document is learnt from once. Hashes of ids deal the documents to shards, as many as the
+training tokens ask for; a shard is learnt from in the order of other hashes, from the weights that the
+round before left, and the weights of a round's shards are averaged by tokens in fixed groups. So the
+weights depend on the documents and not on how they are partitioned.
 """
 
 from __future__ import annotations
@@ -18,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import WordHash, bound_batches, fold, stored, table, texts, to_arrow
-from graphloom.llm.gru import BANDS, CLASS_WORDS, CLASSES, Gru, Trainer
+from graphloom.llm.gru import BANDS, BUCKETS, CLASS_WORDS, CLASSES, Gru, Trainer
 from graphloom.llm.gru import score as score_texts
 
 TABLE_WORDS = 1_000_000  # words whose counts every executor holds, at most
-SHARE = 4  # each round of training takes one in so many training documents, and there are as many rounds
-WARM_DOCS = 400  # learnt from by one task at first, at most: a common start for the rounds
+ROUNDS = 2  # each takes the shards that have its number modulo ROUNDS
+SHARD_TOKENS = 1_000_000  # of a shard, about; the number of shards grows with the corpus
+WARM_DOCS = 400  # learnt from by one task at first, besides the rounds: a common start for them
+WARM_TOKENS = 4096  # of such a document, at most
 WARM_EPOCHS = 3
 GATHER = 1_500_000  # tokens that a task holds at once, about
 END = b""
@@ -37,13 +43,12 @@ def tokens(text: bytes) -> np.ndarray:
 
 
 class CountTable:
-    """64-bit hash to (count, input token), open addressing over numpy arrays."""
+    """64-bit hash to row, open addressing over numpy arrays."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, inputs: np.ndarray):
+    def __init__(self, keys: np.ndarray):
         bits = max(4, int(2 * len(keys)).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.keys, self.at = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-        self.counts, self.inputs = counts, inputs
         slot, left = keys & self.mask, np.arange(len(keys))
         while len(left):
             free = self.at[slot] < 0
@@ -90,7 +95,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Totals, the count table of frequent words, and the input token and class of every word."""
+    """Totals, and of the frequent words hash, count and code, by falling count."""
 
     def __init__(self, counts: DataFrame, table_words: int):
         total, self.distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -103,45 +108,54 @@ class Vocabulary:
         order = np.lexsort((h, -c))
         self.h, self.c = h[order], c[order]
         self.floor = np.log10(self.total + 0.5 * (self.distinct + 1)) if self.total else 0.0
-        end = int(_hash[END])
-        words = np.flatnonzero(self.h != np.uint64(end))
-        neural = min(CLASSES, len(words) // CLASS_WORDS)
-        head = words[: neural * CLASS_WORDS]
+        ends = self.h == _hash[END]
+        words = np.flatnonzero(~ends)
+        self.neural = min(CLASSES, len(words) // CLASS_WORDS)
+        head = words[: self.neural * CLASS_WORDS]
         band = np.clip(BANDS - 1 - np.log2(np.maximum(self.c, 1)).astype(int), 0, BANDS - 2)  # the last is for words out of the table
-        inputs = (1 + band).astype(np.int32)
-        plain = 1 + BANDS
-        inputs[head] = plain + np.arange(len(head), dtype=np.int32)
-        inputs[self.h == np.uint64(end)] = 0
-        self.inputs, self.neural = inputs, neural
+        codes = coded(band, self.h)
+        codes[head] = self.model().words + np.arange(len(head))
+        codes[ends] = 0
+        self.codes = codes.astype(np.uint16)
         # inside a band a word's share is its count + 0.5; the last band has one share of 0.5 for words never seen
-        sums = np.bincount(inputs[words], self.c[words] + 0.5, plain + len(head))[:plain] if len(words) else np.zeros(plain)
-        known = self.total - int(self.c.sum())
-        self.rare_sum = known + 0.5 * (self.distinct - len(self.h)) + 0.5
-        with np.errstate(divide="ignore"):
-            self.inside = np.where(inputs >= plain, 0.0, np.log10(self.c + 0.5) - np.log10(sums[np.minimum(inputs, plain - 1)]))
-        self.inside[inputs == 0] = 0.0
+        tail = np.setdiff1d(words, head, assume_unique=True)
+        sums = np.bincount(band[tail], self.c[tail] + 0.5, BANDS)
+        rare = self.total - int(self.c.sum()) + 0.5 * (self.distinct - len(self.h)) + 0.5
+        self.band_logs = np.log10(np.append(np.maximum(sums[:-1], 0.5), rare))
 
     def sent(self) -> tuple:
-        return self.h, self.c, self.inputs, self.inside
+        return self.h, self.c, self.codes, self.band_logs
 
     def model(self) -> Gru:
-        return Gru(self.neural, BANDS)
+        return Gru(self.neural)
+
+
+def coded(band: np.ndarray | int, h: np.ndarray) -> np.ndarray:
+    """Code of words outside the neural classes."""
+    return 1 + band * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64)
 
 
 class Lookup:
     """In a worker: the vocabulary's table, made once."""
 
     def __init__(self, sent: tuple):
-        h, c, inputs, self.inside = sent
-        self.table = CountTable(h, c, inputs)
+        h, c, self.codes, self.band_logs = sent
+        self.table = CountTable(h)
         self.logs = np.log10(c + 0.5)
 
-    def rows(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Table row and input token of each token."""
+    def encode(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: code, whether the table has it, log10(c + 0.5) if so, and log10 of its share inside its band, where that is the table's."""
         row = self.table.find(h)
-        if not len(self.table.inputs):
-            return row, np.full(len(h), BANDS, np.int32)
-        return row, np.where(row < 0, BANDS, self.table.inputs[row]).astype(np.int32)
+        known = row >= 0
+        code = coded(BANDS - 1, h)
+        logs, inside = np.zeros(len(h)), np.full(len(h), -self.band_logs[-1])
+        if known.any():
+            code[known] = self.codes[row[known]]
+            logs[known] = self.logs[row[known]]
+            tail = known & (code > 0) & (code <= BANDS * BUCKETS)
+            inside[known] = 0
+            inside[tail] = logs[tail] - self.band_logs[(code[tail] - 1) // BUCKETS]
+        return code.astype(np.uint16), known, logs, inside
 
 
 _lookup: list = [None, None]
@@ -155,127 +169,172 @@ def lookup(sent) -> Lookup:
     return _lookup[1]
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, sent, share: int, rounds: int | None = None) -> bytes:
-    """Weights. ``docs``: id, text, training documents only; hashes of ids deal them to warm start and rounds, ``share`` of these if not given, which take in every document."""
-    spark = docs.sparkSession
-    bucket = F.pmod(F.xxhash64(F.lit(41), F.col("id")), F.lit(share))
-    key = F.xxhash64(F.lit(43), F.col("id"))
-    warm = docs.filter(bucket == share - 1).select("id", key.alias("o")).orderBy("o", "id").limit(WARM_DOCS)
-    warm = docs.join(F.broadcast(warm.select("id").distinct()), "id").withColumn("o", key).repartition(1).sortWithinPartitions("o", "text").select("text")
-    weights = averaged(warm, vocabulary, sent, vocabulary.model().dump(), WARM_EPOCHS)
-    for r in range(share if rounds is None else rounds):
-        weights = averaged(docs.filter(bucket == r % share).select("text"), vocabulary, sent, weights, 1)
-    return weights
+ENCODED = "uid long, id long, held boolean, shard long, o long, n_tokens long, n_known long, base double, inside double, x binary, rare array<long>"
 
 
-def averaged(docs: DataFrame, vocabulary: Vocabulary, sent, start: bytes, epochs: int) -> bytes:
-    """Each task learns from its documents, from the same start; weights are averaged by tokens, of 64 at a time, so that no task and not the driver holds those of all."""
+def encode(docs: DataFrame, sent) -> DataFrame:
+    """``docs``: id, text, held, shard, o. For each row what the table knows, its codes, and the hashes of tokens out of the table."""
     spark = docs.sparkSession
-    neural = vocabulary.neural
-    begin = spark.sparkContext.broadcast(start)
-    schema = "part int, tokens long, weights binary"
-    arrow = to_arrow(spark, schema)
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Gru(neural, BANDS).load(begin.value)
-        trainer, found, n, done = Trainer(model), lookup(sent), 0, 0
-        held: list[np.ndarray] = []
+    bound_batches(spark)
+    arrow = to_arrow(spark, ENCODED)
+    passed = ("id", "held", "shard", "o")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, uid = lookup(sent), TaskContext.get().partitionId() << 36
         for b in batches:
-            for t in texts(b):
-                held.append(found.rows(tokens(t))[1])
-                n += len(held[-1])
-                if n >= GATHER:
-                    done += sum(trainer.learn(held) for _ in range(epochs))
-                    held, n = [], 0
-        if held:
-            done += sum(trainer.learn(held) for _ in range(epochs))
-        if done:
-            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "tokens": [done], "weights": [model.dump()]}, schema=arrow)
+            held = [tokens(t) for t in texts(b)]
+            size = np.array([len(t) for t in held], np.int64)
+            if not len(size):
+                continue
+            h = np.concatenate(held)
+            ends = np.cumsum(size)
+            starts = ends - size
+            x, known, logs, inside = found.encode(h)
+            of = lambda v: np.add.reduceat(v, starts)  # noqa: E731 a text has at least its end
+            parts = zip(starts.tolist(), ends.tolist(), strict=True)
+            far, far_ends = h[~known].view(np.int64), np.cumsum(of((~known).astype(np.int64)))
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], far_ends)).astype(np.int32)), pa.array(far))
+            out = {c: b.column(c) for c in passed} | {
+                "uid": np.arange(uid, uid + len(held)), "n_tokens": size, "n_known": of(known.astype(np.int64)), "base": of(logs), "inside": of(inside), "x": [x[i:j].tobytes() for i, j in parts], "rare": rare,
+            }
+            uid += len(held)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
+
+    return docs.mapInArrow(run, ENCODED)
+
+
+def learnt(batches: Iterator[pa.RecordBatch], start: bytes, neural: int, epochs: int) -> Iterator[tuple[int, int, bytes]]:
+    """(shard, tokens, weights) of each shard; rows (shard, x) of one shard follow each other."""
+    now, model, trainer, done, n = None, None, None, 0, 0
+    held: list[np.ndarray] = []
+
+    def learn() -> None:
+        nonlocal held, done, n
+        done += sum(trainer.learn(held) for _ in range(epochs)) if held else 0
+        held, n = [], 0
+
+    for b in batches:
+        for shard, x in zip(b.column("shard").to_pylist(), b.column("x").to_pylist(), strict=True):
+            if shard != now:
+                if trainer:
+                    learn()
+                    yield now, done, model.dump()
+                now, model, done = shard, Gru(neural).load(start), 0
+                trainer = Trainer(model)
+            held.append(np.frombuffer(x, np.uint16))
+            n += len(held[-1])
+            if n >= GATHER:
+                learn()
+    if trainer:
+        learn()
+        yield now, done, model.dump()
+
+
+WEIGHTS = "shard long, tokens long, weights binary"
+
+
+def trained(rows: DataFrame, neural: int, start: bytes, epochs: int) -> DataFrame:
+    """WEIGHTS of each shard of ``rows`` (shard, x), which are sorted in their tasks."""
+    begin = rows.sparkSession.sparkContext.broadcast(start)
+    arrow = to_arrow(rows.sparkSession, WEIGHTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, n, w in learnt(batches, begin.value, neural, epochs):
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "tokens": [n], "weights": [w]}, schema=arrow)
+
+    return rows.mapInArrow(run, WEIGHTS)
+
+
+def averaged(weights: DataFrame, start: bytes) -> bytes:
+    """By tokens, 64 shards at a time in the order of their numbers, so that no task and not the driver holds those of all. ``start`` if there are none."""
+    arrow = to_arrow(weights.sparkSession, WEIGHTS)
 
     def mean(group: pa.Table) -> pa.Table:
-        n = np.array(group["tokens"].to_pylist(), float)
-        total = sum(np.frombuffer(w, np.float32) * k for w, k in zip(group["weights"].to_pylist(), n, strict=True)) / n.sum()
-        return pa.table({"part": [group["part"][0].as_py()], "tokens": [int(n.sum())], "weights": [total.astype(np.float32).tobytes()]}, schema=arrow)
-
-    rows = docs.mapInArrow(learn, schema)
-    for _ in range(3):
-        rows = rows.withColumn("part", F.shiftright("part", 6)).groupBy("part").applyInArrow(mean, schema)
-    rows = rows.collect()
-    if not rows:
+        group = group.sort_by("shard")
+        n = group["tokens"].to_numpy().astype(float)
+        total = np.zeros(len(group["weights"][0].as_py()) // 4)
+        for w, k in zip(group["weights"], n, strict=True):
+            total += np.frombuffer(w.as_py(), np.float32) * (k / n.sum())
+        return pa.table({"shard": [group["shard"][0].as_py()], "tokens": [int(n.sum())], "weights": [total.astype(np.float32).tobytes()]}, schema=arrow)
+
+    top = weights.agg(F.max("shard")).first()[0]
+    if top is None:
         return start
-    n = sum(r["tokens"] for r in rows)
-    return (sum(np.frombuffer(bytes(r["weights"]), np.float32).astype(float) * r["tokens"] for r in rows) / n).astype(np.float32).tobytes()
+    while True:
+        weights = weights.groupBy(F.shiftright("shard", 6).alias("block")).applyInArrow(mean, WEIGHTS).withColumn("shard", F.shiftright("shard", 6))
+        top >>= 6
+        if not top:
+            return bytes(weights.first()["weights"])
+
+
+def train(encoded: DataFrame, vocabulary: Vocabulary, shards: int, rounds: int = ROUNDS) -> bytes:
+    """Weights, from the rows of ``encoded`` that are not held out."""
+    known = encoded.filter(~F.col("held"))
+    warm = known.filter(F.col("n_tokens") <= WARM_TOKENS).select("o", "x").orderBy("o", "x").limit(WARM_DOCS).select(F.lit(0).cast("long").alias("shard"), "x")
+    weights = averaged(stored(trained(warm, vocabulary.neural, vocabulary.model().dump(), WARM_EPOCHS), "lm-weights"), vocabulary.model().dump())
+    for r in range(rounds):
+        slot = F.floor(F.col("shard") / rounds).cast("int")
+        rows = known.filter(F.col("shard") % rounds == r).select("shard", "o", "x").repartitionById(-(-shards // rounds), slot).sortWithinPartitions("shard", "o", "x").select("shard", "x")
+        weights = averaged(stored(trained(rows, vocabulary.neural, weights, 1), "lm-weights"), weights)
+    return weights
 
 
-SCORED = "uid long, id long, n_tokens long, n_known long, base double, score double, rare array<long>"
+SCORED = "uid long, id long, held boolean, n_tokens long, n_known long, base double, score double"
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, sent, weights: bytes) -> DataFrame:
-    """For each row what the table and the model know, and the hashes of the tokens that are not in the table."""
-    spark = docs.sparkSession
-    bound_batches(spark)
+def score(encoded: DataFrame, vocabulary: Vocabulary, weights: bytes) -> DataFrame:
+    """The columns of SCORED; the score lacks the counts of tokens out of the table."""
+    spark = encoded.sparkSession
     arrow, neural = to_arrow(spark, SCORED), vocabulary.neural
-    rare_log = float(np.log10(vocabulary.rare_sum))
-    model_sent = spark.sparkContext.broadcast(weights)
+    sent = spark.sparkContext.broadcast(weights)
+    passed = ("uid", "id", "held", "n_tokens", "n_known", "base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, found, uid = Gru(neural, BANDS).load(model_sent.value), lookup(sent), TaskContext.get().partitionId() << 36
-        ids: list = []
-        held: list[np.ndarray] = []
+        model = Gru(neural).load(sent.value)
+        kept: list[pa.RecordBatch] = []
         n = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal uid
-            h = np.concatenate(held)
-            row, x = found.rows(h)
-            size = np.array([len(t) for t in held])
-            ends = np.cumsum(size)
-            owner = np.repeat(np.arange(len(held)), size)
-            known = row >= 0
-            per = lambda v: np.bincount(owner[known], v[row[known]], len(held)) if known.any() else np.zeros(len(held))
-            rare = np.bincount(owner[~known], minlength=len(held))
-            neural_part = score_texts(model, np.split(x, ends[:-1])) / np.log(10)
-            far = [a[~k].view(np.int64) for a, k in zip(held, np.split(known, ends[:-1]), strict=True)]
-            out = {
-                "uid": range(uid, uid + len(held)), "id": ids, "n_tokens": size, "n_known": per(np.ones(len(found.inside))).astype(np.int64), "base": per(found.logs), "score": neural_part + per(found.inside) - rare * rare_log, "rare": far,
-            }
-            uid += len(held)
-            return pa.RecordBatch.from_pydict(out, schema=arrow)
+            rows = pa.Table.from_batches(kept).combine_chunks()
+            logs = score_texts(model, [np.frombuffer(x, np.uint16) for x in rows["x"].to_pylist()]) / np.log(10)
+            columns = [rows[c].combine_chunks() for c in passed] + [pa.array(rows["inside"].to_numpy() + logs)]
+            return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
         for b in batches:
-            for i, t in zip(b.column("id").to_pylist(), texts(b), strict=True):
-                ids.append(i)
-                held.append(tokens(t))
-                n += len(held[-1])
+            if b.num_rows:
+                kept.append(b)
+                n += sum(b.column("n_tokens").to_pylist())
                 if n >= GATHER:
                     yield flush()
-                    ids, held, n = [], [], 0
-        if held:
+                    kept, n = [], 0
+        if kept:
             yield flush()
 
-    return docs.mapInArrow(run, SCORED)
+    return encoded.select(*passed, "inside", "x").mapInArrow(run, SCORED)
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, table_words: int = TABLE_WORDS, share: int = SHARE, rounds: int | None = None) -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, table_words: int = TABLE_WORDS, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
     Null texts are empty, that is an end alone. Null ids fall in fold 0 and are learnt from unless that is
-    held out; repeated rows count as often as they stand. Without training documents N and V are 0: the
-    base score is 0 for every token.
+    held out; repeated rows count as often as they stand. Ids are whole numbers (others raise). Without
+    training documents N and V are 0: the base score is 0 for every token.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = rows.filter(fold(F.col("id"), folds) != held_out)
-    counts = stored(word_counts(known.select("text")), "lm-counts")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("held", fold(F.col("id"), folds) == held_out)
+    counts = stored(word_counts(rows.filter(~F.col("held")).select("text")), "lm-counts")
     vocabulary = Vocabulary(counts, table_words)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary.sent())
-    done = stored(score(rows, vocabulary, sent, train(known, vocabulary, sent, share, rounds)), "lm-scored")
+    shards = rounds * max(1, -(-vocabulary.total // (rounds * shard_tokens)))
+    dealt = rows.withColumns({"shard": F.pmod(F.xxhash64(F.lit(41), F.col("id")), F.lit(shards)), "o": F.xxhash64(F.lit(43), F.col("id"))})
+    done = stored(encode(dealt, sent), "lm-encoded")
+    scored = score(done, vocabulary, train(done, vocabulary, shards, rounds))
     rare = done.select("uid", F.explode("rare").alias("h")).groupBy("uid", "h").agg(F.count("*").alias("n"))
     c = F.coalesce("c", F.lit(0))
     rest = rare.join(counts.filter(F.col("c") < vocabulary.least), "h", "left").groupBy("uid").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"))
-    out = done.drop("rare").join(rest, "uid", "left")
+    out = scored.join(rest, "uid", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return out.select(
-        F.col("id").alias(id_col), (fold(F.col("id"), folds) == held_out).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"),
+        F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"),
         (F.col("base") + logs - F.col("n_tokens") * float(vocabulary.floor)).alias("base_score"), (F.col("score") + logs).alias("score"),
     )
 

@@ -68,11 +68,11 @@ def test_ranges_are_joined():
 
 
 def test_gru_gradients_and_carried_state():
-    m = gru.Gru(2, 3, hidden=4, members=4)
+    m = gru.Gru(2, 3, buckets=2, hidden=4, members=4)
     for n in m.names:
         setattr(m, n, getattr(m, n).astype(float))
     rng = np.random.default_rng(0)
-    texts = [rng.integers(0, m.inputs - 1, k).astype(np.int32) for k in (5, 3, 1, 7)]
+    texts = [rng.integers(0, m.start, k).astype(np.uint16) for k in (5, 3, 1, 7)]
     grads = {}
 
     class Caught(gru.Trainer):
@@ -97,15 +97,17 @@ def test_gru_gradients_and_carried_state():
 
 
 def test_classes_sum_to_one():
-    m = gru.Gru(3, 2, hidden=4, members=5)
+    m = gru.Gru(3, 2, buckets=1, hidden=4, members=5)
     h = np.random.default_rng(0).standard_normal((1, 4)).astype(np.float32)
-    p = np.exp(m.log_probs(np.repeat(h, m.inputs - 1, 0), np.arange(m.inputs - 1)))
-    assert p.sum() == pytest.approx(1, abs=1e-5)
+    every = np.arange(m.start, dtype=np.uint16)
+    assert np.exp(m.log_probs(np.repeat(h, len(every), 0), every)).sum() == pytest.approx(1, abs=1e-5)
+    m.Wc *= 400  # logits beyond what exp takes
+    assert np.exp(m.log_probs(np.repeat(h, len(every), 0), every)).sum() == pytest.approx(1, abs=1e-5)
 
 
 @pytest.mark.parametrize("words", [1_000_000, 3, 0])
 def test_base_scores(spark, documents, edges, words):
-    got = lm_score.lm_score(edges, table_words=words, share=2, rounds=1).collect()
+    got = lm_score.lm_score(edges, table_words=words).collect()
     token = lambda t: [*(t or "").encode().lower().split(), b""]
     fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5
     c = Counter(w for i, t, _ in EDGES if fold(i) != 1 for w in token(t))
@@ -115,33 +117,83 @@ def test_base_scores(spark, documents, edges, words):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
-def test_model_learns(spark, documents, nothing):
+def chains(n):
     random.seed(8)
     follow = {w: random.choice("abcdefgh") for w in "abcdefgh"}
     rows = []
-    for i in range(400):
+    for i in range(n):
         w = [random.choice("abcdefgh")]
         for _ in range(60):
             w.append(follow[w[-1]] if random.random() < 0.9 else random.choice("abcdefgh"))
         rows.append((i, " ".join(x + str(k % 16) for k, x in enumerate(w))))
-    got = lm_score.lm_score(documents(rows), share=3, rounds=2).collect()
-    held = [r for r in got if r.held_out]
-    assert held and sum(r.score for r in held) > sum(r.base_score for r in held) * 0.95
+    return rows
+
+
+def test_model_learns(spark, documents, nothing):
+    held = [r for r in lm_score.lm_score(documents(chains(400)), shard_tokens=5000).collect() if r.held_out]
+    assert held and sum(r.score for r in held) < 0 and sum(r.score for r in held) > sum(r.base_score for r in held) * 0.95
     assert lm_score.lm_score(nothing).isEmpty()
 
 
+def test_scores_do_not_depend_on_partitions(spark, documents):
+    docs = documents([*chains(120), (None, "no id"), (7, "twice"), (7, "twice")])
+    one, four = ({(r.doc_id, r.n_tokens): r.score for r in lm_score.lm_score(d, shard_tokens=1500).collect()} for d in (docs.coalesce(1), docs.repartition(4)))
+    assert one.keys() == four.keys() and all(one[k] == pytest.approx(four[k], rel=1e-5) for k in one)
+
+
+@pytest.mark.parametrize("words", [1_000_000, 70, 0])
+def test_score_against_a_plain_one(spark, documents, monkeypatch, words):
+    caught, train = [], lm_score.train
+
+    def spy(encoded, vocabulary, *rest):
+        caught[:] = vocabulary, train(encoded, vocabulary, *rest)
+        return caught[1]
+
+    monkeypatch.setattr(lm_score, "train", spy)
+    rows = [*chains(60), (100, None), (101, "never seen words"), (102, "a0 b1 unseen")]
+    got = {r.doc_id: r.score for r in lm_score.lm_score(documents(rows), table_words=words, shard_tokens=2000).collect()}
+    vocabulary, weights = caught
+    m = vocabulary.model().load(weights)
+    n = m.hidden
+    c = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in [*(t or "").encode().lower().split(), b""])
+    code = {w: int(vocabulary.codes[k]) for w in c for k in np.flatnonzero(vocabulary.h == lm_score.tokens(w)[0])}
+    plain = {}  # words outside the neural classes, by band
+    for w in c:
+        if 0 < code.get(w, 1) < m.words:
+            plain.setdefault((code[w] - 1) // gru.BUCKETS if w in code else gru.BANDS - 1, []).append(w)
+    soft = lambda e: e - np.log(np.exp(e).sum())
+    for i, t in rows:
+        h, x, total = np.zeros(n), m.start, 0.0
+        for w in [*(t or "").encode().lower().split(), b""]:
+            gx, gh = m.G[x].astype(float), h @ m.U
+            z, r = (np.tanh(gx[:n] + gh[:n]) + 1) / 2, (np.tanh(gx[n : 2 * n] + gh[n : 2 * n]) + 1) / 2
+            new = np.tanh(gx[2 * n :] + r * gh[2 * n :])
+            h = new + z * (h - new)
+            x = code.get(w, 1 + (gru.BANDS - 1) * gru.BUCKETS + int(lm_score.tokens(w)[0] % gru.BUCKETS))
+            cls = soft(h @ m.Wc + m.bc)
+            if x >= m.words:
+                k, member = divmod(x - m.words, m.members)
+                total += cls[m.plain + k] + soft(h @ m.Wo[k] + m.bo[k])[member]
+            elif x == 0:
+                total += cls[0]
+            else:
+                band = (x - 1) // gru.BUCKETS
+                total += cls[1 + band] + math.log((c[w] + 0.5) / (sum(c[v] + 0.5 for v in plain.get(band, ())) + (0.5 if band == gru.BANDS - 1 else 0)))
+        assert got[i] == pytest.approx(total / math.log(10), rel=1e-4, abs=1e-4)
+
+
 def test_every_training_document_is_learnt_from(spark, documents, monkeypatch):
     seen = Counter()
 
-    def averaged(docs, vocabulary, sent, start, epochs):
+    def trained(rows, neural, start, epochs):
         if epochs == 1:
-            seen.update(r.text for r in docs.collect())
-        return start
+            seen.update(bytes(r.x) for r in rows.collect())
+        return spark.createDataFrame([], lm_score.WEIGHTS)
 
-    monkeypatch.setattr(lm_score, "averaged", averaged)
-    rows = [(i, f"text {i}") for i in range(200)] + [(None, "no id")]
-    lm_score.lm_score(documents(rows)).collect()
-    assert seen == Counter(t for i, t in rows if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1)
+    monkeypatch.setattr(lm_score, "trained", trained)
+    rows = [(i, " ".join(f"text {i}".split() * (i % 7))) for i in range(200)] + [(None, "no id"), (3, "a"), (3, "a")]
+    lm_score.lm_score(documents(rows), shard_tokens=100).collect()
+    assert sorted(len(x) // 2 for x in seen.elements()) == sorted(1 + len(t.split()) for i, t in rows if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1)
 
 
 def jaccard_components(rows, k, similar=80):
