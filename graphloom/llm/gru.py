@@ -23,13 +23,13 @@ CLASS_WORDS = 64
 CLASSES = 48
 BANDS = 20
 BUCKETS = 256
-SAFE = 60.0  # logits up to here need no shift before exp
+SAFE = 60.0  # logits that cannot exceed this need no shift before exp
 
 
 class Gru:
-    """Parameters: G input rows by token, U recurrent, Wc and bc class logits, Wo and bo member logits."""
+    """Parameters: G input rows by token, U recurrent, Wc class logits, Wo member logits; in Wc and Wo the last row is a bias."""
 
-    names = ("G", "U", "Wc", "bc", "Wo", "bo")
+    names = ("G", "U", "Wc", "Wo")
 
     def __init__(self, neural: int, bands: int = BANDS, buckets: int = BUCKETS, hidden: int = HIDDEN, members: int = CLASS_WORDS, seed: int = 1):
         rng = np.random.default_rng(seed)
@@ -41,8 +41,8 @@ class Gru:
         self.start = self.words + neural * members
         self.G = (rng.standard_normal((self.start + 1, 3 * hidden)) * 0.1).astype(f)
         self.U = (rng.standard_normal((hidden, 3 * hidden)) / np.sqrt(hidden)).astype(f)
-        self.Wc, self.bc = (rng.standard_normal((hidden, self.classes)) * 0.1).astype(f), np.zeros(self.classes, f)
-        self.Wo, self.bo = (rng.standard_normal((neural, hidden, members)) * 0.1).astype(f), np.zeros((neural, members), f)
+        self.Wc, self.Wo = (rng.standard_normal((hidden + 1, self.classes)) * 0.1).astype(f), (rng.standard_normal((neural, hidden + 1, members)) * 0.1).astype(f)
+        self.Wc[-1], self.Wo[:, -1] = 0, 0
 
     def dump(self) -> bytes:
         return b"".join(getattr(self, n).tobytes() for n in self.names)
@@ -63,9 +63,9 @@ class Gru:
         return cls, np.where(over < 0, 0, over % self.members)
 
     def run(self, h: np.ndarray, x: np.ndarray, fresh: np.ndarray, kept: list | None = None) -> np.ndarray:
-        """States after each of x[t], from state h; fresh[t]: the lane starts a text at t. Gates are tanh(a)/2 + 1/2."""
+        """States after each of x[t], with a 1 at their end, from state h; fresh[t]: the lane starts a text at t. Gates are tanh(a)/2 + 1/2."""
         n = self.hidden
-        out = np.empty((*x.shape, n), np.float32)
+        out = np.ones((*x.shape, n + 1), np.float32)
         gx = self.G[x]
         half, some = np.float32(0.5), fresh.any(1)
         for t in range(len(x)):
@@ -82,9 +82,10 @@ class Gru:
             np.tanh(new, out=new)
             if kept is not None:
                 kept.append((h, zr, new, gh))
-            h = np.subtract(h, new, out=out[t])
+            h = h - new
             h *= z
             h += new
+            out[t, :, :n] = h
         return out
 
     def log_probs(self, h: np.ndarray, token: np.ndarray, grads: dict | None = None) -> np.ndarray:
@@ -93,39 +94,36 @@ class Gru:
         order = np.argsort(cls.astype(np.uint16), kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(self.plain, self.classes + 1))
         h, cls, member = h[order], cls[order], member[order]  # by class from here on
-        at = np.arange(len(token))
-        done, p = self._softmax(h, self.Wc, self.bc, at, cls, grads is not None)
-        if grads is not None:
-            grads["Wc"], grads["bc"] = h.T @ p, p.sum(0)
-            back = p @ self.Wc.T
-            grads["Wo"], grads["bo"] = np.zeros_like(self.Wo), np.zeros_like(self.bo)
+        at, slope = np.arange(len(token)), grads is not None
+        done, p = self._softmax(h, self.Wc, at, cls, slope)
+        if slope:
+            grads["Wc"], grads["Wo"] = h.T @ p, np.zeros_like(self.Wo)
+            back = p @ self.Wc[:-1].T
         for c in range(self.neural):
             a, b = bounds[c], bounds[c + 1]
             if a == b:
                 continue
-            hc = h[a:b]
-            more, p = self._softmax(hc, self.Wo[c], self.bo[c], at[: b - a], member[a:b], grads is not None)
+            more, p = self._softmax(h[a:b], self.Wo[c], at[: b - a], member[a:b], slope)
             done[a:b] += more
-            if grads is not None:
-                grads["Wo"][c], grads["bo"][c] = hc.T @ p, p.sum(0)
-                back[a:b] += p @ self.Wo[c].T
+            if slope:
+                np.dot(h[a:b].T, p, out=grads["Wo"][c])
+                back[a:b] += p @ self.Wo[c, :-1].T
         out = np.empty_like(done)
         out[order] = done
-        if grads is not None:
+        if slope:
             grads["h"] = np.empty_like(back)
             grads["h"][order] = back
         return out
 
     @staticmethod
-    def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, target: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probabilities of targets; with ``slope``, probabilities less the targets' ones."""
+    def _softmax(h: np.ndarray, w: np.ndarray, at: np.ndarray, target: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probabilities of targets; with ``slope``, probabilities less the targets' ones. States are in -1 to 1, so the weights bound the logits."""
         e = h @ w
-        e += b
-        if e.max() > SAFE or e.min() < -SAFE:
+        if np.abs(w).sum(0).max() > SAFE:
             e -= e.max(1, keepdims=True)
         done = e[at, target]
         np.exp(e, out=e)
-        s = e @ np.ones(e.shape[1], np.float32)
+        s = e @ np.ones(e.shape[1], e.dtype)
         done -= np.log(s)
         if slope:
             e *= (1 / s)[:, None]
@@ -182,7 +180,7 @@ def score(model: Gru, texts: list[np.ndarray], wide: int = 512, window: int = 32
         live = x.shape[1]
         h = h[:live] if len(h) else np.zeros((live, model.hidden), np.float32)
         states = model.run(h, x, fresh)
-        h = states[-1]
+        h = states[-1, :, :-1]
         ok = own >= 0
         total += np.bincount(own[ok], model.log_probs(states[ok], y[ok]), len(texts))
     return total
@@ -209,13 +207,13 @@ class Trainer:
         states = m.run(h, x, fresh, kept)
         g: dict = {}
         full = bool(ok.all())
-        m.log_probs(states.reshape(-1, n) if full else states[ok], y.reshape(-1) if full else y[ok], g)
+        m.log_probs(states.reshape(-1, n + 1) if full else states[ok], y.reshape(-1) if full else y[ok], g)
         if full:
-            dh = g.pop("h").reshape(states.shape)
+            dh = g.pop("h").reshape(*x.shape, n)
         else:
-            dh = np.zeros_like(states)
+            dh = np.zeros((*x.shape, n), np.float32)
             dh[ok] = g.pop("h")
-        dgx, dgh, hp = np.empty((*x.shape, 3 * n), np.float32), np.empty((*x.shape, 3 * n), np.float32), np.empty_like(states)
+        dgx, dgh, hp = np.empty((*x.shape, 3 * n), np.float32), np.empty((*x.shape, 3 * n), np.float32), np.empty((*x.shape, n), np.float32)
         carry, back = np.zeros(h.shape, np.float32), np.ascontiguousarray(m.U.T)
         two, some = np.float32(2), fresh.any(1)
         for t in range(len(x) - 1, -1, -1):
@@ -242,9 +240,9 @@ class Trainer:
         sorted_x = flat[order]
         at = np.flatnonzero(np.concatenate(([True], sorted_x[1:] != sorted_x[:-1])))
         g["G"] = np.add.reduceat(dgx.reshape(-1, 3 * n)[order], at)
-        return g, sorted_x[at], states[-1]
+        return g, sorted_x[at], states[-1, :, :-1]
 
-    def learn(self, texts: list[np.ndarray], wide: int = 128, window: int = 16) -> int:
+    def learn(self, texts: list[np.ndarray], wide: int = 256, window: int = 32) -> int:
         """Tokens learnt from."""
         m, tokens = self.model, 0
         h = np.zeros((0, m.hidden), np.float32)

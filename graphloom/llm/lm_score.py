@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,27 +136,58 @@ def coded(band: np.ndarray | int, h: np.ndarray) -> np.ndarray:
     return 1 + band * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64)
 
 
-class Lookup:
-    """In a worker: the vocabulary's table, made once."""
+class Lookup(dict):
+    """In a worker: the vocabulary's table, made once. As a dict, it remembers rows of words: 0 and up in the table, -1 - i for word i of ``far``, which is out of it."""
+
+    LIMIT, LONGEST, NEW = 400_000, 64, -(1 << 62)
 
     def __init__(self, sent: tuple):
         h, c, self.codes, self.band_logs = sent
         self.table = CountTable(h)
         self.logs = np.log10(c + 0.5)
-
-    def encode(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: code, whether the table has it, log10(c + 0.5) if so, and log10 of its share inside its band, where that is the table's."""
-        row = self.table.find(h)
+        self.far: list[int] = []
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = row = self.NEW - len(self.fresh)
+        self.fresh.append(word)
+        return row
+
+    def rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each word, negative if it is not in the table, and the hashes of those."""
+        if len(self) > self.LIMIT:
+            self.clear()
+            self.far.clear()
+        row = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, self.fresh), np.uint64, len(self.fresh))
+            found = self.table.find(h).astype(np.int64)
+            out = found < 0
+            found[out] = -1 - len(self.far) - np.arange(out.sum())
+            self.far += h[out].tolist()
+            new = row <= self.NEW
+            row[new] = found[self.NEW - row[new]]
+            for w, r in zip(self.fresh, found.tolist(), strict=True):
+                if len(w) <= self.LONGEST:
+                    self[w] = r
+                else:
+                    del self[w]
+            self.fresh = []
+        return row, np.array(self.far, np.uint64)[-1 - row[row < 0]]
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word: code, whether the table has it, log10(c + 0.5) if so, and log10 of its share inside its band, where that is the table's; and the hashes of the others."""
+        row, far = self.rows(words)
         known = row >= 0
-        code = coded(BANDS - 1, h)
-        logs, inside = np.zeros(len(h)), np.full(len(h), -self.band_logs[-1])
+        code, logs, inside = np.empty(len(row), np.int64), np.zeros(len(row)), np.full(len(row), -self.band_logs[-1])
+        code[~known] = coded(BANDS - 1, far)
         if known.any():
             code[known] = self.codes[row[known]]
             logs[known] = self.logs[row[known]]
             tail = known & (code > 0) & (code <= BANDS * BUCKETS)
             inside[known] = 0
             inside[tail] = logs[tail] - self.band_logs[(code[tail] - 1) // BUCKETS]
-        return code.astype(np.uint16), known, logs, inside
+        return code.astype(np.uint16), known, logs, inside, far
 
 
 _lookup: list = [None, None]
@@ -182,22 +214,27 @@ def encode(docs: DataFrame, sent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, uid = lookup(sent), TaskContext.get().partitionId() << 36
         for b in batches:
-            held = [tokens(t) for t in texts(b)]
-            size = np.array([len(t) for t in held], np.int64)
-            if not len(size):
+            if not b.num_rows:
                 continue
-            h = np.concatenate(held)
-            ends = np.cumsum(size)
+            words: list[bytes] = []
+            ends = []
+            for t in texts(b):
+                words += t.lower().split()
+                words.append(END)
+                ends.append(len(words))
+            ends = np.array(ends)
+            size = np.diff(ends, prepend=0)
             starts = ends - size
-            x, known, logs, inside = found.encode(h)
+            x, known, logs, inside, far = found.encode(words)
+            far = far.view(np.int64)
             of = lambda v: np.add.reduceat(v, starts)  # noqa: E731 a text has at least its end
             parts = zip(starts.tolist(), ends.tolist(), strict=True)
-            far, far_ends = h[~known].view(np.int64), np.cumsum(of((~known).astype(np.int64)))
+            far_ends = np.cumsum(of((~known).astype(np.int64)))
             rare = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], far_ends)).astype(np.int32)), pa.array(far))
             out = {c: b.column(c) for c in passed} | {
-                "uid": np.arange(uid, uid + len(held)), "n_tokens": size, "n_known": of(known.astype(np.int64)), "base": of(logs), "inside": of(inside), "x": [x[i:j].tobytes() for i, j in parts], "rare": rare,
+                "uid": np.arange(uid, uid + b.num_rows), "n_tokens": size, "n_known": of(known.astype(np.int64)), "base": of(logs), "inside": of(inside), "x": [x[i:j].tobytes() for i, j in parts], "rare": rare,
             }
-            uid += len(held)
+            uid += b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
 
     return docs.mapInArrow(run, ENCODED)

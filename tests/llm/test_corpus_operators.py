@@ -98,7 +98,7 @@ def test_gru_gradients_and_carried_state():
 
 def test_classes_sum_to_one():
     m = gru.Gru(3, 2, buckets=1, hidden=4, members=5)
-    h = np.random.default_rng(0).standard_normal((1, 4)).astype(np.float32)
+    h = np.append(np.tanh(np.random.default_rng(0).standard_normal((1, 4))), [[1]], 1).astype(np.float32)
     every = np.arange(m.start, dtype=np.uint16)
     assert np.exp(m.log_probs(np.repeat(h, len(every), 0), every)).sum() == pytest.approx(1, abs=1e-5)
     m.Wc *= 400  # logits beyond what exp takes
@@ -170,10 +170,11 @@ def test_score_against_a_plain_one(spark, documents, monkeypatch, words):
             new = np.tanh(gx[2 * n :] + r * gh[2 * n :])
             h = new + z * (h - new)
             x = code.get(w, 1 + (gru.BANDS - 1) * gru.BUCKETS + int(lm_score.tokens(w)[0] % gru.BUCKETS))
-            cls = soft(h @ m.Wc + m.bc)
+            one = np.append(h, 1)
+            cls = soft(one @ m.Wc)
             if x >= m.words:
                 k, member = divmod(x - m.words, m.members)
-                total += cls[m.plain + k] + soft(h @ m.Wo[k] + m.bo[k])[member]
+                total += cls[m.plain + k] + soft(one @ m.Wo[k])[member]
             elif x == 0:
                 total += cls[0]
             else:
