@@ -2,7 +2,10 @@
 
 The share of words in content lines decides whether a document stays, after two plain rules (few words;
 many words in five-word windows that come again). The CRF is trained here, by maximum likelihood with
-forward-backward sums, on a bounded sample of labelled documents whose lines take the document's label.
+forward-backward sums, on a bounded sample of labelled documents. Only documents have labels, so those of
+the lines are found in turns with the weights: lines are first told apart by themselves, then labelled as
+the model would label them, as far as a good document has CONTENT_SHARE of its words in content lines and
+a bad one has not. So a document's lines need not agree, and the model learns where labels change.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ MAX_REPEATED = 20  # per cent of words in repeated windows
 WINDOW = 5
 CONTENT_SHARE = 0.5
 SAMPLE_PER_LABEL = 1000  # documents of each label that are learnt from, at most: those with the smallest hashed ids
+SAMPLE_LINES = 256  # lines of such a document, at most: neighbours, from a place that its hashed id gives
+TURNS = 2  # of labelling lines and fitting weights
 SPACES = b" \t\n\r\x0b\f"
 SYMBOLS = b"#*$%&|<>"
 _NOT_CHAR = bytes(c for c in range(256) if c in SPACES or 128 <= c < 192)
@@ -101,8 +106,9 @@ class Crf:
     def __init__(self, unary: np.ndarray, pair: np.ndarray):
         self.unary, self.pair = unary, pair
 
-    def viterbi(self, x: np.ndarray) -> np.ndarray:
-        e, p = (x @ self.unary.T).tolist(), self.pair.tolist()
+    def viterbi(self, x: np.ndarray, content: float = 0.0) -> np.ndarray:
+        """Whether each line is content; ``content`` is added to the score of every content line."""
+        e, p = (x @ self.unary.T + (0.0, content)).tolist(), self.pair.tolist()
         (a, b), back = e[0], []
         for u, v in e[1:]:
             a0, b0, a1, b1 = a + p[0][0], b + p[1][0], a + p[0][1], b + p[1][1]
@@ -119,19 +125,44 @@ class Crf:
 UNTRAINED = Crf(np.array([np.zeros(N_FEATURES), [1.0, -4, -2, -2, -2, 1, -6, -1, -1, -1, 1, -1]]), np.array([[1.0, -1.0], [-1.0, 1.0]]))
 
 
-def train(documents: list[tuple[np.ndarray, int]], epochs: int = 30, batch: int = 64, rate: float = 0.05, l2: float = 1e-3) -> Crf:
-    """Maximum likelihood by Adam; documents of like length share a batch, padded and masked."""
-    if len({y for _, y in documents}) < 2:
+Document = tuple[np.ndarray, np.ndarray, int]  # features of its lines, their words, its label
+
+
+def train(documents: list[Document], turns: int = TURNS) -> Crf:
+    if len({y for *_, y in documents}) < 2:
         return UNTRAINED
     documents = sorted(documents, key=lambda d: len(d[0]))
+    crf = weights([(x, np.full(len(x), y)) for x, _, y in documents], chained=False)
+    for _ in range(turns):
+        crf = weights([(x, line_labels(crf, x, n, y)) for x, n, y in documents])
+    return crf
+
+
+def line_labels(crf: Crf, x: np.ndarray, n: np.ndarray, label: int, content_share: float = CONTENT_SHARE) -> np.ndarray:
+    """The labelling that Viterbi gives if content is made just so likely, or unlikely, in all lines that the document's label holds."""
+    holds = lambda z: (n @ z >= content_share * n.sum()) == bool(label)
+    best = crf.viterbi(x)
+    if holds(best):
+        return best.astype(int)
+    near, far = 0.0, 1.0
+    while not holds(crf.viterbi(x, far if label else -far)):
+        far *= 2
+    for _ in range(12):
+        mid = (near + far) / 2
+        near, far = (near, mid) if holds(crf.viterbi(x, mid if label else -mid)) else (mid, far)
+    return crf.viterbi(x, far if label else -far).astype(int)
+
+
+def weights(documents: list[tuple[np.ndarray, np.ndarray]], chained: bool = True, epochs: int = 30, batch: int = 64, rate: float = 0.05, l2: float = 1e-3) -> Crf:
+    """Maximum likelihood of labelled lines by Adam; documents, sorted by length, share a batch, padded and masked. Without ``chained`` lines stand alone."""
     batches = []
     for i in range(0, len(documents), batch):
         part = documents[i : i + batch]
         longest = len(part[-1][0])
-        x = np.zeros((len(part), longest, N_FEATURES))
-        for j, (f, _) in enumerate(part):
-            x[j, : len(f)] = f
-        batches.append((x, np.array([y for _, y in part]), np.array([len(f) for f, _ in part])))
+        x, y = np.zeros((len(part), longest, N_FEATURES)), np.zeros((len(part), longest), int)
+        for j, (f, z) in enumerate(part):
+            x[j, : len(f)], y[j, : len(f)] = f, z
+        batches.append((x, y, np.array([len(f) for f, _ in part])))
     w, p = np.zeros((2, N_FEATURES)), np.zeros((2, 2))
     moments = [np.zeros_like(a) for a in (w, p, w, p)]
     step = 0
@@ -139,7 +170,7 @@ def train(documents: list[tuple[np.ndarray, int]], epochs: int = 30, batch: int
         for i in np.random.default_rng(e).permutation(len(batches)):
             gw, gp = gradient(*batches[i], w, p)
             step += 1
-            for a, g, m, v in ((w, gw - l2 * w, *moments[0::2]), (p, gp - l2 * p, *moments[1::2])):
+            for a, g, m, v in ((w, gw - l2 * w, *moments[0::2]), (p, (gp - l2 * p) * chained, *moments[1::2])):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 a += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -147,7 +178,7 @@ def train(documents: list[tuple[np.ndarray, int]], epochs: int = 30, batch: int
 
 
 def gradient(x: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the mean log-likelihood per line; every line of a document has the document's label."""
+    """Of the mean log-likelihood per line of the labels ``y``, for the first ``n`` lines of each document."""
     size, longest, _ = x.shape
     live = np.arange(longest) < n[:, None]
     e = x @ w.T
@@ -162,32 +193,34 @@ def gradient(x: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray, p: np.n
         beta[:, t] = np.where(live[:, t + 1, None], new, 0)
     z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
     mean = np.exp(np.minimum(alpha + beta - z[:, None, None], 0)) * live[..., None]
-    gold = np.zeros_like(mean)
-    gold[np.arange(size), :, y] = live
+    gold = np.stack((y == 0, y == 1), -1) & live[..., None]
     gw = np.einsum("bts,btf->sf", gold - mean, x)
     gp = np.zeros((2, 2))
     if longest > 1:
         both = alpha[:, :-1, :, None] + p + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]
-        gp -= (np.exp(np.minimum(both, 0)) * live[:, 1:, None, None]).sum((0, 1))
-        for s in (0, 1):
-            gp[s, s] += (live[:, 1:] & (y == s)[:, None]).sum()
+        gp = (gold[:, :-1, :, None] & gold[:, 1:, None, :]).sum((0, 1)) - (np.exp(np.minimum(both, 0)) * live[:, 1:, None, None]).sum((0, 1))
     total = max(1, int(n.sum()))
     return gw / total, gp / total
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Crf:
-    """``docs``: id, text; ``labels``: id, label. Null labels and ids, and texts without words, teach nothing."""
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, lines: int = SAMPLE_LINES) -> Crf:
+    """``docs``: id, text; ``labels``: id, label. Null labels and ids, and texts without words, teach nothing. The driver holds 2 x ``per_label`` x ``lines`` lines at most."""
     order = F.xxhash64(F.lit(29), F.col("id"))
     known = labels.filter(F.col("label").isNotNull() & F.col("id").isNotNull()).withColumn("label", (F.col("label") > 0).cast("int")).withColumn("o", order)
     sample = known.filter("label = 0").orderBy("o", "id").limit(per_label).unionByName(known.filter("label = 1").orderBy("o", "id").limit(per_label))
 
     def run(b: pa.RecordBatch) -> dict:
-        out = [np.array([line_features(*z) for z in zip(*lines_of(t), strict=True)], np.float32).tobytes() for t in texts(b)]
+        out = []
+        for t, o in zip(texts(b), b.column("o").to_pylist(), strict=True):
+            rows = list(zip(*lines_of(t), strict=True))
+            at = o % (len(rows) - lines + 1) if len(rows) > lines else 0
+            out.append(np.array([(*line_features(*z), len(z[1])) for z in rows[at : at + lines]], np.float32).tobytes())
         return {"o": b.column("o"), "label": b.column("label"), "x": out}
 
     rows = per_row(docs.join(F.broadcast(sample), "id").select("o", "label", "text"), run, "o long, label int, x binary").collect()
-    data = sorted((r["o"], r["label"], bytes(r["x"])) for r in rows if r["x"])
-    return train([(np.frombuffer(x, np.float32).reshape(-1, N_FEATURES).astype(float), y) for _, y, x in data])
+    data = sorted({(r["o"], r["label"], bytes(r["x"])) for r in rows if r["x"]})
+    tables = [(np.frombuffer(x, np.float32).reshape(-1, N_FEATURES + 1).astype(float), y) for _, y, x in data]
+    return train([(x[:, :-1], x[:, -1], y) for x, y in tables])
 
 
 def judge(text: bytes, crf: Crf, content_share: float = CONTENT_SHARE) -> tuple:
@@ -209,7 +242,11 @@ FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple[str, ...] = (), only_kept: bool = False) -> DataFrame:
-    """id and FIELDS for each row, then the columns of ``keep``; with ``only_kept`` id and ``keep`` of the rows that stay. A null text has no words and so fails; null ids and repeated rows are kept as rows."""
+    """id and FIELDS for each row, then the columns of ``keep``; with ``only_kept`` id and ``keep`` of the rows that stay.
+
+    A null text has no words and so fails; null ids and repeated rows are kept as rows. Ids are whole numbers
+    (others raise). Without a sample of both labels fixed weights (UNTRAINED) are taken.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
     crf = fit(rows.select("id", "text"), labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")))
     names = [f.split()[0] for f in FIELDS.split(", ")]
