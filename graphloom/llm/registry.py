@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
+    "op7_mixing": mixing.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
     "op9_licenses": licenses.licenses_sql(),
     "op10_neardup": neardup.OP10_SQL,
