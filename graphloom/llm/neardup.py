@@ -5,14 +5,18 @@ every class is a candidate with the bucket's leader (another leader for each ban
 thousands yields few pairs for each member), not with all others. Signatures of candidates are compared
 batch by batch, and a pair goes as soon as the posterior chance that its similarity reaches the
 threshold falls below MISS. Each class is then verified exactly, on full sets, with its best candidate.
-What this links is joined into components. Candidates and buckets that still span several components make
-families; inside a family all pairs across components go through the same two tests, tile by tile, without
-being written out as rows. So a link is missed only if no band agrees, or by the chosen MISS.
+What this links is joined into components.
+
+Links between components may be left. A pair at the threshold agrees in two bands or more (but for a chance
+like MISS), and both bands' buckets then span several components. So classes meet again only where two such
+buckets meet, and there each class outside the largest component is compared with all classes of other
+components: a pair goes through the sequential test in the first two bands that it shares, and what is left
+is verified on full sets. So a link is missed only if fewer than two bands agree, or by the chosen MISS.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from math import comb
 
@@ -25,12 +29,13 @@ from graphloom.llm.common import WordHash, bound_batches, mix64, per_row, stored
 from graphloom.llm.components import components
 
 SIMILAR = 80  # per cent
-ROWS, BANDS = 4, 32  # at similarity 0.8 no band agrees with probability 5e-8
+ROWS, BANDS = 4, 32  # at similarity 0.8 no band agrees with probability 5e-8, fewer than two with 1e-6
 HASHES = ROWS * BANDS
 BATCH = 16
 MISS = 1e-6
-TILE = 1024
-TILE_BYTES = 4 << 20
+TILE = 1024  # classes on a side of what a task compares at once
+TILE_BYTES = 4 << 20  # of their sets, about
+TASK_ROWS = 4 * TILE
 
 _hash = WordHash()
 _rng = np.random.default_rng(97)
@@ -96,6 +101,11 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return per_row(docs, run, "id long, th long, n long, cid long, sig binary")
 
 
+def band_keys(sigs: bytes) -> np.ndarray:
+    """A row of keys, one for each band, for each signature."""
+    return mix64(np.frombuffer(sigs, np.uint64).reshape(-1, BANDS) + mix64(np.arange(1, BANDS + 1, dtype=np.uint64)))
+
+
 def band_rows(classes: DataFrame) -> DataFrame:
     """(k, cid) for each band."""
     bound_batches(classes.sparkSession)
@@ -104,8 +114,7 @@ def band_rows(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keys = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint64).reshape(b.num_rows, BANDS)
-                keys = mix64(keys + mix64(np.arange(1, BANDS + 1, dtype=np.uint64)))
+                keys = band_keys(b"".join(b.column("sig").to_pylist()))
                 yield pa.RecordBatch.from_pydict({"k": keys.view(np.int64).ravel(), "cid": np.repeat(b.column("cid").to_numpy(), BANDS)}, schema=arrow)
 
     return classes.mapInArrow(run, "k long, cid long")
@@ -161,62 +170,116 @@ def full_sets(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
     return per_row(rows, run, "cid long, words binary").filter("words is not null").dropDuplicates(["cid"])
 
 
-def across(classes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """(a, b): links between classes of one family and different components, on full sets; of a tile one for each two components.
+def meetings(mixed: DataFrame) -> DataFrame:
+    """(k1, k2, cid, comp, n) where two buckets of ``mixed`` (k, cid, comp, n) meet and classes of several components are."""
+    both = mixed.groupBy("cid").agg(F.sort_array(F.collect_set("k")).alias("ks"), F.first("comp").alias("comp"), F.first("n").alias("n")).filter("size(ks) > 1")  # BANDS keys at most
+    pairs = F.flatten(F.transform("ks", lambda k, i: F.transform(F.slice("ks", i + 2, BANDS), lambda other: F.struct(k.alias("k1"), other.alias("k2")))))
+    rows = both.select("cid", "comp", "n", F.explode(pairs).alias("p")).select("p.k1", "p.k2", "cid", "comp", "n")
+    several = rows.groupBy("k1", "k2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("k1", "k2")
+    return rows.join(several, ["k1", "k2"], "left_semi")
 
-    ``classes``: cid, comp, family, sig, n (set size). A family is dealt into tiles, pairs of blocks of at
-    most TILE classes and about TILE_BYTES of sets. Inside a tile signatures are compared first, then the
-    sets: one class against all that are left, through lists of the classes that have each shingle.
+
+def tiled(met: DataFrame) -> DataFrame:
+    """(k1, k2, i, j, loose, cid, comp): in a tile the loose classes of block i, those outside the largest component, stand against all of block j.
+
+    A block has about TILE classes and TILE_BYTES of sets at most.
+    """
+    comps = met.groupBy("k1", "k2", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    blocks = lambda c, w: F.greatest(F.ceil(c / TILE), F.ceil(w * 8 / TILE_BYTES)).cast("int")
+    size = comps.groupBy("k1", "k2").agg(F.max(F.struct("c", "w", "comp")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    size = size.select("k1", "k2", F.col("top.comp").alias("top"), blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("ni"), blocks(F.col("c"), F.col("w")).alias("nj"))
+    rows = met.join(size, ["k1", "k2"])
+    own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("cid")), F.col(n)).cast("int")
+    loose = rows.filter("comp != top").select("k1", "k2", own(5, "ni").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("loose"), "cid", "comp")
+    every = rows.select("k1", "k2", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), own(6, "nj").alias("j"), F.lit(False).alias("loose"), "cid", "comp")
+    return loose.unionByName(every)
+
+
+def across(mixed: DataFrame, sigs: DataFrame, sets: Callable[[DataFrame], DataFrame], similar: int) -> DataFrame:
+    """(a, b): links between classes of different components, of a tile one for each two components.
+
+    ``mixed``: k, cid, comp, n, the buckets that span several components; ``sets``: from (cid) to (cid, words).
+    First signatures alone are compared; then the classes of pairs that are left meet once more, with their sets.
     """
-    spark = classes.sparkSession
+    spark = mixed.sparkSession
     bound_batches(spark)
-    size = classes.groupBy("family").agg(F.count("*").alias("classes"), F.sum(F.col("n") * 8).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("classes") / TILE), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
-    rows = classes.join(size.select("family", blocks.alias("blocks")), "family").withColumn("own", F.pmod(F.xxhash64(F.lit(5), F.col("cid")), F.col("blocks")).cast("int"))
-    tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "sig")
-    tiles = tiles.join(sets, "cid")
-    arrow = to_arrow(spark, "a long, b long")
-
-    def links(group: pa.Table) -> pa.Table:
-        cid, comp, own, i, j = (group[c].to_numpy() for c in ("cid", "comp", "own", "i", "j"))
-        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(-1, HASHES)
-        words = [np.frombuffer(w, np.uint64) for w in group["words"].to_pylist()]
+    tiles = stored(tiled(stored(meetings(mixed), "meetings")), "tiles")
+    tasks = max(1, tiles.count() // TASK_ROWS)
+    tiles = tiles.withColumn("task", F.pmod(F.xxhash64("k1", "k2", "i", "j"), F.lit(tasks)))
+    names = ("task", "k1", "k2", "i", "j", "loose", "cid", "comp")
+    schema = "task long, k1 long, k2 long, i int, j int, loose boolean, cid long, comp long"
+    left, links = to_arrow(spark, schema), to_arrow(spark, "a long, b long")
+
+    def pairs(group: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+        """Tiles of a task, with the rows of pairs that pass the sequential test."""
+        group = group.sort_by([(c, "ascending") for c in ("k1", "k2", "i", "j", "loose", "cid")])
+        key = np.stack([group[c].to_numpy() for c in ("k1", "k2", "i", "j")])
+        first = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0))))
+        for s, e in zip(first, np.append(first[1:], group.num_rows), strict=True):
+            tile = group.slice(s, e - s)
+            raw = b"".join(tile["sig"].to_pylist())
+            sig, bands = np.frombuffer(raw, np.uint16).reshape(-1, HASHES), band_keys(raw).view(np.int64)
+            at = np.sort(np.flatnonzero((bands[0] == key[0, s]) | (bands[0] == key[1, s])))[:2]
+            cid, comp, loose = tile["cid"].to_numpy(), tile["comp"].to_numpy(), tile["loose"].to_numpy(zero_copy_only=False)
+            x, y = np.flatnonzero(loose), np.flatnonzero(~loose)
+            also = set(cid[x].tolist())
+            both = np.array([c in also for c in cid[y].tolist()], bool)  # loose itself: such a pair stands twice
+            found = []
+            for k in range(0, len(x), 64):
+                p, q = (v.ravel() for v in np.meshgrid(x[k : k + 64], y, indexing="ij"))
+                go = (comp[p] != comp[q]) & (~np.tile(both, len(x[k : k + 64])) | (cid[p] < cid[q]))
+                p, q = p[go], q[go]
+                same = bands[p] == bands[q]
+                one = same.argmax(1)
+                same[np.arange(len(p)), one] = False
+                go = (one == at[0]) & (same.argmax(1) == at[1]) if len(at) == 2 else np.zeros(len(p), bool)
+                p, q = p[go], q[go]
+                kept, _ = sequential(sig, sig, p, q, similar)
+                found.append(np.stack((p[kept], q[kept])))
+            p, q = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+            if len(p):
+                yield tile, p, q
+
+    def survivors(group: pa.Table) -> pa.Table:
+        parts = [tile.take(np.unique(np.concatenate((p, q)))).select(list(names)) for tile, p, q in pairs(group)]
+        return pa.concat_tables(parts).cast(left) if parts else left.empty_table()
+
+    def linked(group: pa.Table) -> pa.Table:
+        out = [left_links(tile, p, q) for tile, p, q in pairs(group)]
+        a, b = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": a, "b": b}, schema=links)
+
+    def left_links(tile: pa.Table, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        cid, comp = tile["cid"].to_numpy(), tile["comp"].to_numpy()
+        words = [np.frombuffer(w, np.uint64) for w in tile["words"].to_pylist()]
         n = np.array([len(w) for w in words])
         owner = np.repeat(np.arange(len(words)), n)
         _, shingle = np.unique(np.concatenate(words), return_inverse=True)
         having = owner[np.argsort(shingle, kind="stable")]  # classes by shingle
         end = np.cumsum(np.bincount(shingle))
         own_shingles = np.split(shingle, np.cumsum(n)[:-1])
-        x = np.flatnonzero(own == i)
-        y = x if i[0] == j[0] else np.flatnonzero(own == j)
         found = []
-        for at in range(0, len(x), 64):
-            p, q = (v.ravel() for v in np.meshgrid(x[at : at + 64], y, indexing="ij"))
-            far = comp[p] != comp[q]
-            if i[0] == j[0]:
-                far &= p < q
-            p, q = p[far], q[far]
-            kept, _ = sequential(sig, sig, p, q, similar)
-            p, q = p[kept], q[kept]
-            for one in np.unique(p):
-                others = q[p == one]
-                if len(others) <= 4:
-                    common = np.array([len(np.intersect1d(words[one], words[o], assume_unique=True)) for o in others])
-                else:
-                    e = own_shingles[one]
-                    stop = end[e]
-                    start = np.where(e > 0, end[e - 1], 0)
-                    m = stop - start
-                    where = np.arange(m.sum()) + np.repeat(start - np.cumsum(m) + m, m)
-                    common = np.bincount(having[where], minlength=len(words))[others]
-                others = others[100 * common >= similar * (n[one] + n[others] - common)]
-                found.append(np.stack((np.full(len(others), one), others)))
-        a, b = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        for one in np.unique(p):
+            others = q[p == one]
+            if len(others) <= 4:
+                common = np.array([len(np.intersect1d(words[one], words[o], assume_unique=True)) for o in others])
+            else:
+                e = own_shingles[one]
+                stop = end[e]
+                start = np.where(e > 0, end[e - 1], 0)
+                m = stop - start
+                where = np.arange(m.sum()) + np.repeat(start - np.cumsum(m) + m, m)
+                common = np.bincount(having[where], minlength=len(words))[others]
+            others = others[100 * common >= similar * (n[one] + n[others] - common)]
+            found.append(np.stack((np.full(len(others), one), others)))
+        a, b = np.concatenate(found, 1)
         # two components need one link
         _, once = np.unique(np.sort(np.stack((comp[a], comp[b])), 0), axis=1, return_index=True)
-        return pa.table({"a": cid[a[once]], "b": cid[b[once]]}, schema=arrow)
+        return np.stack((cid[a[once]], cid[b[once]]))
 
-    return tiles.groupBy("family", "i", "j").applyInArrow(links, "a long, b long")
+    near = stored(tiles.join(sigs.select("cid", "sig"), "cid").groupBy("task").applyInArrow(survivors, schema), "survivors")
+    full = sets(near.select("cid").distinct())
+    return near.join(sigs.select("cid", "sig"), "cid").join(full, "cid").groupBy("task").applyInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +287,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR, id_col:
 
     Null and empty texts have an empty set and are linked with nothing; so are rows with a null id, which
     have no component and are kept. Repeated ids link by their texts alone; repeated rows are all kept or
-    none is. An empty table gives no rows.
+    none is. Ids are whole numbers (others raise). An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = stored(signatures(rows.withColumn("th", F.xxhash64("text")), k), "signatures")
@@ -241,15 +304,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR, id_col:
     best = sided.groupBy("cid").agg(F.max(F.struct("m", F.xxhash64("to"), "to"))["to"].alias("to")).select(F.least("cid", "to").alias("a"), F.greatest("cid", "to").alias("b")).distinct()
     first = _link(rows, stored(best, "best"), tops, k, similar)
     labels = stored(components(first), "labels")
-    # families: classes joined by candidates that passed, or by a bucket of more than two that is not one component
-    comps = lambda d: d.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    several = lambda d, by: d.groupBy(by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
-    mixed = several(comps(multi), "k").filter("n > 2").select("k")
-    near = left.select("a", "b").unionByName(multi.join(mixed, "k", "left_semi").select(F.col("cid").alias("a"), F.col("leader").alias("b")).distinct())
-    family = stored(comps(components(near).select(F.col("node").alias("cid"), F.col("comp").alias("family"))), "families")
-    family = stored(family.join(several(family, "family").select("family"), "family", "left_semi").join(sigs, "cid"), "families")
-    sets = stored(full_sets(rows, tops.join(family.select("cid"), "cid", "left_semi"), k), "sets")
-    more = stored(across(family, sets, similar), "across")
+    comps = multi.select("k", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    several = comps.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("k")
+    mixed = comps.join(several, "k", "left_semi").join(sigs.select("cid", "n"), "cid")
+    more = stored(across(mixed, sigs, lambda need: full_sets(rows, tops.join(need, "cid", "left_semi"), k), similar), "across")
     if not more.isEmpty():
         labels = stored(components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "labels")
     byclass = tops.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import bwt, components, gru, lm_score, mixing, neardup, suffix_dedup, warc
 from tests.llm.conftest import EDGES
@@ -41,8 +42,46 @@ def test_mix(spark, documents, edges, nothing):
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix(documents(rows)).collect()), key=repr)
     assert len(mixing.mix(edges).collect()) == len(EDGES)
     assert mixing.mix(nothing).isEmpty()
-    weighed = mixing.mix(documents(rows).withColumnRenamed("n_chars", "m"), weight_col="m").collect()
-    assert all(r.taken <= 2 * r.size for r in weighed)
+
+
+@pytest.mark.parametrize("weight", [None, "n_words"])
+def test_mix_takes_the_smallest_ranks(spark, documents, weight):
+    """Expected copies, odds and ranks worked out in plain Python; the nearest number of documents by trying each."""
+    random.seed(2)
+    rows = [(i, " ".join("x" for _ in range(random.choice([0, 1, 3, 8, 20, 60, 300]))), random.choice("aaaabc")) for i in range(900)] + [(950, "one two", None), (951, None, "a"), (952, "x y z", "c"), (952, "x y z", "c")]
+    docs = documents(rows).withColumn("n_words", F.expr("case when doc_id % 7 = 0 then null else doc_id % 5 end"))
+    got = sorted((r.source or "~", r.doc_id, r.size, r.target, r.copies, r.taken) for r in mixing.mix(docs, weight_col=weight, share=0.6).collect())
+    target = {r[0]: r[3] for r in got}
+    want, unequal = [], 0
+    for source in target:
+        mine = [(i, t or "") for i, t, s in rows if (s or "~") == source]
+        sizes = [len(t.split()) for _, t in mine]
+        given = [math.sqrt(n) if weight is None else ((0 if i % 7 == 0 else i % 5) if n else 0) for (i, _), n in zip(mine, sizes, strict=True)]
+        whole = [int(g * 1000) for g in given]
+        m = [w - w % 10 ** max(len(str(w)) - 3, 0) for w in whole]
+        lo, hi = 0.0, 1e6
+        for _ in range(200):  # the rate at which expected words are the target
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(min(2, mid * a) * n for a, n in zip(m, sizes, strict=True)) < target[source] else (lo, mid)
+        e = [min(2, hi * a) for a in m]
+        unequal += len({round(x, 6) for x in e if 0 < x < 2}) > 1
+        base = [int(x + 1e-9) for x in e]
+        ranked = []
+        for k, ((i, t), x, b) in enumerate(zip(mine, e, base, strict=True)):
+            if (p := x - b) > 1e-9:
+                text = next(u for j, u, s in rows if j == i)
+                h = hashlib.md5(f"{mixing.SEED}:{i}:{'' if text is None else hashlib.md5(text.encode()).hexdigest()}".encode()).hexdigest()
+                u = (int(h[:13], 16) + 0.5) / 2**52
+                ranked.append(((u / (1 - u)) / (p / (1 - p)), h[13:28], k))
+        ranked.sort()
+        lacks = target[source] - sum(b * n for b, n in zip(base, sizes, strict=True))
+        upto = [0, *np.cumsum([sizes[k] for *_, k in ranked])]
+        n = min(range(len(upto)), key=lambda k: (abs(upto[k] - lacks), k))
+        last = ranked[n - 1][:2] if n else (-1, "")
+        for odds, tie, k in ranked:
+            base[k] += (odds, tie) <= last
+        want += [(source, i, s, target[source], b, b * s) for (i, _), s, b in zip(mine, sizes, base, strict=True)]
+    assert unequal and [(g[0], g[1], g[2], g[4], g[5]) for g in got] == [(w[0], w[1], w[2], w[4], w[5]) for w in sorted(want)]
 
 
 def test_warc(spark, tmp_path):
@@ -247,6 +286,16 @@ def test_tiles(spark, documents, monkeypatch):
     assert got == jaccard_components(rows, 2)
 
 
+def test_many_loose_texts_share_bands(spark, documents):
+    """Texts that agree in a third of their words: many bands are shared, hardly any link is there."""
+    random.seed(5)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join([*common, *(f"r{random.randint(0, 10**6)}" for _ in range(40))])) for i in range(150)]
+    rows += [(200 + i, " ".join([*common, *(f"z{j}" for j in range(40 - i % 3)), f"y{i}"])) for i in range(20)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(rows), k=1).collect())
+    assert got == jaccard_components(rows, 1)
+
+
 def test_near_duplicate_edges(spark, edges, nothing):
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(edges, k=2).collect()), key=repr)
     want = [(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (5, 4, False), (6, 6, True), (7, 6, False), (8, 8, True), (9, 9, True), (None, None, True)]
