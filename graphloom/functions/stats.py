@@ -5,8 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.operators.graphs import dealt, ordinal
+
 
 def _log_factorial(n: Column) -> Column:
     return F.aggregate(F.when(n > 1, F.sequence(F.lit(2), F.greatest(n, F.lit(2)))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
@@ -51,14 +54,17 @@ def non_inferior(lower: Column, margin: float) -> Column:
 def pareto(points: DataFrame, speed: str, quality: str, key: str) -> DataFrame:
     """``points`` with on_frontier: no other point is at least as good in both and better in one.
 
-    The best quality among faster points decides, so one window over the distinct speeds replaces the
-    comparison of all pairs.
+    The best quality among faster points decides: prefix maxima over the distinct speeds, range by range,
+    replace the comparison of all pairs.
     """
-    from pyspark.sql import Window as W
-
-    tops = points.groupBy(speed).agg(F.max(quality).alias("_top"))
-    faster = F.max("_top").over(W.orderBy(F.desc(speed)).rowsBetween(W.unboundedPreceding, -1))
-    tops = tops.withColumn("_faster", faster)
+    tops, n = dealt(points.groupBy(speed).agg(F.max(quality).alias("_top")), [F.desc(speed)], "speeds")
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    tops = tops.withColumn("_faster", F.max("_top").over(before(W.partitionBy("_range").orderBy(F.desc(speed)))))
+    if n > 1:
+        ranges = tops.groupBy("_range").agg(F.max("_top").alias("_m"))
+        ranges = ranges.select("_range", F.max("_m").over(before(W.orderBy("_range"))).alias("_m"))  # MOST_RANGES rows at most
+        tops = tops.join(F.broadcast(ranges), "_range").withColumn("_faster", F.greatest("_faster", "_m")).drop("_m")
+    tops = tops.drop("_range")
     rows = points.join(tops, speed)
     good = (F.col(quality) == F.col("_top")) & (F.col("_faster").isNull() | (F.col(quality) > F.col("_faster")))
     return rows.withColumn("on_frontier", good).drop("_top", "_faster")
@@ -97,10 +103,7 @@ def majority_baseline(rows: DataFrame, actual: str) -> DataFrame:
 
 def class_codes(rows: DataFrame, column: str) -> DataFrame:
     """Classes to 0..C-1 by their text."""
-    from pyspark.sql import Window as W
-
-    known = rows.select(column).distinct().withColumn("code", (F.row_number().over(W.orderBy(F.col(column).cast("string"))) - 1).cast("long"))
-    return rows.join(F.broadcast(known), column)
+    return rows.join(ordinal(rows.select(column).distinct(), [F.col(column).cast("string")], "code"), column)
 
 
 def run_summary(runs: DataFrame, by: list[str], value: str) -> DataFrame:

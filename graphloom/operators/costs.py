@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.functions.codelength import dirichlet_multinomial_bits, log2_factorial, orbit_bits_log2, positive_integer_bits, sum_log2
+from graphloom.functions.codelength import dirichlet_multinomial_bits, log2_choose_fast, log2_factorial, orbit_bits_log2, positive_integer_bits, sum_log2
+from graphloom.operators.graphs import running
 from graphloom.operators.rewriting import KEYS, boundaries
 
 
@@ -55,11 +55,12 @@ def template_bits(carrier_nodes: DataFrame, carrier_edges: DataFrame, n_rules: C
     return bits.select(*KEYS, (F.col("nodes") - n_edges).alias("carrier_nodes"), n_edges.alias("carrier_edges"), F.col("bits").alias("template"))
 
 
-def boundary_bits(bounds: DataFrame, rules: DataFrame) -> DataFrame:
-    """(eval_id, graph_id, boundary): signatures of supernodes with equal rule, boundary size and context share a code."""
+def boundary_bits(bounds: DataFrame, rules: DataFrame, raw: bool = False) -> DataFrame:
+    """(eval_id, graph_id, boundary): signatures of supernodes with equal rule, boundary size and context share a code. ``raw``: without the automorphisms, of n^b signatures."""
     group = [*KEYS, "rank", "b", "context"]
-    counts = bounds.groupBy(*group, "signature").agg(F.count("*").alias("n")).groupBy(*group).agg(F.collect_list("n").alias("counts"), F.sum("n").cast("int").alias("total"))
-    rows = counts.join(F.broadcast(rules.select("rank", "fixed", "aut_order")), "rank").withColumn("log_orbits", orbit_bits_log2(F.col("fixed"), F.col("aut_order"), F.col("b")))
+    counts = bounds.groupBy(*group, "raw_signature" if raw else "signature").agg(F.count("*").alias("n")).groupBy(*group).agg(F.collect_list("n").alias("counts"), F.sum("n").cast("int").alias("total"))
+    rows = counts.join(F.broadcast(rules.select("rank", "fixed", "aut_order", "m_size")), "rank")
+    rows = rows.withColumn("log_orbits", F.col("b") * F.log2(F.col("m_size").cast("double")) if raw else orbit_bits_log2(F.col("fixed"), F.col("aut_order"), F.col("b")))
     each = F.aggregate("counts", F.lit(0.0), lambda a, c: a + sum_log2(F.lit(0.5), c.cast("int")))
     huge = F.col("total") * (F.col("log_orbits") - 1) - each  # where n symbols more do not change the logarithm
     exact = dirichlet_multinomial_bits(F.col("counts"), F.greatest(F.floor(F.pow(F.lit(2.0), F.col("log_orbits")) + 1e-6), F.lit(1)))
@@ -73,45 +74,26 @@ def rewrite_costs(carrier_nodes: DataFrame, carrier_edges: DataFrame, rules: Dat
     return t.join(b, KEYS, "left").withColumn("boundary", F.coalesce("boundary", F.lit(0.0)))
 
 
-def running(df: DataFrame, group: list[str], keys: list[Column], sums: dict[str, Column], parts: int = 64) -> DataFrame:
-    """Position (from 1) and running sums of each group in order, sorted range by range: no task holds a whole group."""
-    first = df.select(keys[0].alias("k")).agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 1000)).first()[0] or []
-    bucket = F.lit(0)
-    for c in sorted(set(first)):
-        bucket = bucket + F.when(keys[0] > F.lit(c), 1).otherwise(0)
-    dealt = df.withColumn("_bucket", bucket)
-    w = W.partitionBy(*group, "_bucket").orderBy(*keys)
-    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    total = dealt.groupBy(*group, "_bucket").agg(F.count("*").alias("_k"), *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    total = total.select(*group, "_bucket", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b{c}") for c in ["_k", *[f"_t_{n}" for n in sums]]])
-    out = dealt.withColumn("k", F.row_number().over(w)).withColumns({n: F.sum(c).over(upto) for n, c in sums.items()}).join(total, [*group, "_bucket"])
-    return out.withColumns({"k": (F.col("k") + F.col("_b_k")).cast("long"), **{n: F.col(n) + F.col(f"_b_t_{n}") for n in sums}}).drop("_bucket", *[f"_b{c}" for c in ["_k", *[f"_t_{n}" for n in sums]]])
-
-
 def sparse_curve(per_graph: DataFrame, total: DataFrame, choice_bits: float) -> DataFrame:
     """(eval_id, k, graph_id, gain_sum, net): the k graphs of largest gain are rewritten; k = 0 costs the choice alone.
 
     ``per_graph``: eval_id, graph_id, gain of eligible graphs; ``total``: eval_id, n_graphs, dictionary, one row for each eval.
-    log2 C(n, k) is a running sum as well.
     """
-    rows = running(per_graph, ["eval_id"], [-F.col("gain"), F.col("graph_id")], {"gain_sum": F.col("gain")})
-    rows = rows.join(F.broadcast(total), "eval_id").withColumn("step", F.log2((F.col("n_graphs") - F.col("k") + 1) / F.col("k")))
-    rows = running(rows.withColumnRenamed("k", "at"), ["eval_id"], [F.col("at")], {"choose": F.col("step")}).drop("at")
-    net = F.col("gain_sum") - F.col("dictionary") - positive_integer_bits(F.col("k")) - F.col("choose") - choice_bits
+    rows = running(per_graph.select("eval_id", "graph_id", "gain"), ["eval_id"], [-F.col("gain"), F.col("graph_id")], {"gain_sum": F.col("gain")}).join(F.broadcast(total), "eval_id")
+    net = F.col("gain_sum") - F.col("dictionary") - positive_integer_bits(F.col("k")) - log2_choose_fast(F.col("n_graphs"), F.col("k")) - choice_bits
     zero = total.select("eval_id", F.lit(0).cast("long").alias("k"), F.lit(None).cast("long").alias("graph_id"), F.lit(0.0).alias("gain_sum"), F.lit(-float(choice_bits)).alias("net"))
     return rows.select("eval_id", "k", F.col("graph_id").cast("long").alias("graph_id"), "gain_sum", net.alias("net")).unionByName(zero)
 
 
-def select_graphs(per_graph: DataFrame, total: DataFrame, selector: str = "sparse", choice_bits: float = 1.0, forced: bool = False) -> DataFrame:
+def select_graphs(per_graph: DataFrame, total: DataFrame, selector: str = "sparse", choice_bits: float = 1.0, forced: bool = False, curve: DataFrame | None = None) -> DataFrame:
     """(eval_id, n_selected, least_gain, last_graph, net): one row for each eval.
 
     A graph is used if it is eligible and comes no later than (least_gain, last_graph) in the order of
     falling gain. ``forced`` demands a rewrite where one exists, and charges the dictionary for per_graph
-    and all_eligible even if no graph has one.
+    and all_eligible even if no graph has one. ``curve``: sparse_curve of the same, where the caller has it.
     """
     if selector == "sparse":
-        curve = sparse_curve(per_graph, total, choice_bits)
+        curve = sparse_curve(per_graph, total, choice_bits) if curve is None else curve
         if forced:
             has = per_graph.select("eval_id").distinct().withColumn("has", F.lit(True))
             curve = curve.join(has, "eval_id", "left").filter("has is null or k > 0").drop("has")

@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.runtime import store
+
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge."""
-    return edges.select("graph_id", "u", "v", "label").unionByName(edges.select("graph_id", F.col("v").alias("u"), F.col("u").alias("v"), "label"))
+    """Both directions of every edge, from one pass over the edges."""
+    way = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
+    return edges.select("graph_id", "label", F.inline(F.array(way("u", "v"), way("v", "u")))).select("graph_id", "u", "v", "label")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Degree of every node, isolated ones included; parallel edges count each."""
-    ends = adjacency(edges).groupBy("graph_id", F.col("u").alias("node_id")).agg(F.count("*").alias("degree"))
+    ends = edges.select("graph_id", F.explode(F.array("u", "v")).alias("node_id")).groupBy("graph_id", "node_id").agg(F.count("*").alias("degree"))
     return nodes.select("graph_id", "node_id").join(ends, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
@@ -66,22 +69,46 @@ def within_caps(sizes: DataFrame, nodes: int | None = None, edges: int | None =
     return sizes.filter(keep)
 
 
-def ordinal(df: DataFrame, keys: list[Column], name: str, parts: int = 64) -> DataFrame:
-    """0-based position of every row in a total order, without sorting all rows in one task.
-
-    The first key's approximate quantiles, a few literals, deal rows to ranges; a range's size is the offset
-    of those after it.
-    """
-    first = df.select(keys[0].alias("k")).agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 1000)).first()[0] or []
-    cuts = sorted(set(first))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + F.when(keys[0] > F.lit(c), 1).otherwise(0)
-    dealt = df.withColumn("_bucket", bucket)
-    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.select("_bucket", F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    at = F.row_number().over(W.partitionBy("_bucket").orderBy(*keys)) - 1
-    return dealt.withColumn(name, at).join(F.broadcast(before), "_bucket").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_bucket", "_before")
+ROWS_PER_RANGE = 200_000
+MOST_RANGES = 10_000
+
+
+def dealt(df: DataFrame, keys: list[Column], label: str = "ordered") -> tuple[DataFrame, int]:
+    """``df``, stored, with ``_range``: ranges of the order of all ``keys``, so ties in the first of them do not meet; and how many ranges there are, MOST_RANGES at most."""
+    rows = store(df, label)
+    n = min(MOST_RANGES, -(-rows.count() // ROWS_PER_RANGE))
+    if n <= 1:
+        return rows.withColumn("_range", F.lit(0)), 1
+    return store(rows.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id()), label), n
+
+
+def ordinal(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
+    """0-based position of every row in a total order, without sorting all rows in one task: a position in a range, and the sizes of the ranges before."""
+    rows, n = dealt(df, keys)
+    out = rows.withColumn(name, (F.row_number().over(W.partitionBy("_range").orderBy(*keys)) - 1).cast("long"))
+    if n == 1:
+        return out.drop("_range")
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return out.join(F.broadcast(before), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
+def running(df: DataFrame, group: list[str], keys: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """k, the position (from 1), and running sums of each group in order, range by range: no task holds a whole group."""
+    rows, n = dealt(df, [*[F.col(g) for g in group], *keys], "running")
+    w = W.partitionBy(*group, "_range").orderBy(*keys)
+    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = rows.withColumn("k", F.row_number().over(w).cast("long")).withColumns({s: F.sum(c).over(upto) for s, c in sums.items()})
+    if n == 1:
+        return out.drop("_range")
+    names = ["k", *sums]
+    total = rows.groupBy(*group, "_range").agg(F.count("*").alias("_t_k"), *[F.sum(c).alias(f"_t_{s}") for s, c in sums.items()])
+    earlier = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    total = total.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_b_{s}") for s in names])
+    same = F.col("_range") == F.col("_r")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return out.join(total, same).withColumns({s: F.col(s) + F.col(f"_b_{s}") for s in names}).drop("_range", "_r", *[f"_g_{g}" for g in group], *[f"_b_{s}" for s in names])
 
 
 def size_bins(sizes: DataFrame, bins: int = 3) -> DataFrame:
@@ -93,10 +120,32 @@ def size_bins(sizes: DataFrame, bins: int = 3) -> DataFrame:
 
 def stratified_sample(binned: DataFrame, count: int, seed: int = 0, bins: int = 3) -> DataFrame:
     """``count`` graphs, dealt evenly over bins, the remainder to the first; chosen by the MD5 of seed and id. Bins that fall short are filled from the rest."""
+    return _sampled(binned, count, seed, bins).select(binned.columns)
+
+
+def _sampled(binned: DataFrame, count: int, seed: int, bins: int) -> DataFrame:
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("graph_id").cast("string")))
     quota = F.lit(count // bins) + F.when(F.col("bin") < count % bins, 1).otherwise(0)
-    ranked = binned.withColumn("_r", F.row_number().over(W.partitionBy("bin").orderBy(order, "graph_id"))).withColumn("_spare", (F.col("_r") > quota).cast("int"))
-    return ranked.orderBy("_spare", order, "graph_id").limit(count).drop("_r", "_spare")
+    ranked = running(binned.withColumn("_h", order), ["bin"], [F.col("_h"), F.col("graph_id")], {}).withColumn("_spare", (F.col("k") > quota).cast("int"))
+    return ranked.orderBy("_spare", "_h", "graph_id").limit(count)
+
+
+def sample_manifest(sizes: DataFrame, dataset: str, fit: int, evaluate: int, seed: int = 0, bins: int = 3, **caps: int) -> DataFrame:
+    """A sample of graphs within the caps, even over bins of size, dealt to fit and eval, with what is known of each.
+
+    Raises ValueError if fewer graphs are eligible than asked for. The sample itself is small: it is one task's.
+    """
+    if fit < 1 or evaluate < 1:
+        raise ValueError("fit and evaluate from 1")
+    total, eligible = sizes.count(), within_caps(sizes, **caps)
+    n = eligible.count()
+    if n < fit + evaluate:
+        span = lambda d: ", ".join(f"{c}={r[0]}..{r[1]}" for c in ("nodes", "edges", "max_degree", "wedges") for r in [d.agg(F.min(c), F.max(c)).first()])
+        raise ValueError(f"{fit + evaluate} graphs wanted, {n} eligible under {caps or 'no caps'}; all: {span(sizes)}; eligible: {span(eligible)}")
+    picked = _sampled(size_bins(eligible, bins), fit + evaluate, seed, bins)
+    at = F.row_number().over(W.orderBy("_spare", "_h", "graph_id")) - 1
+    rows = picked.withColumn("at", at).withColumn("split", F.when(F.col("at") < fit, "fit").otherwise("eval")).withColumn("sample_position", F.when(F.col("at") < fit, F.col("at")).otherwise(F.col("at") - fit).cast("long"))
+    return rows.select(F.lit(dataset).alias("dataset"), F.lit(seed).alias("seed"), "split", "sample_position", "graph_id", F.col("bin").alias("size_bin"), "nodes", "edges", "max_degree", "wedges", F.lit(n).cast("long").alias("eligible_graphs"), F.lit(total).cast("long").alias("all_graphs"))
 
 
 def topology_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:

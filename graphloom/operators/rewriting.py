@@ -52,7 +52,8 @@ def boundaries(carrier_nodes: DataFrame, carrier_edges: DataFrame, rules: DataFr
     """(eval_id, graph_id, cid, rank, b, context, signature) of every supernode; also those without a boundary edge.
 
     Boundary edges are grouped by neighbour and label. The context is each group's neighbour kind and label,
-    edge label and size; the signature its ports, the least over the motif's automorphisms.
+    edge label and size; the signature its ports, the least over the motif's automorphisms, the raw one its
+    ports as they are.
     """
     one = carrier_edges.filter("src_port is not null").select(*KEYS, F.col("src").alias("cid"), F.col("src_port").alias("port"), F.col("dst").alias("other"), F.col("label").alias("edge_label"))
     two = carrier_edges.filter("dst_port is not null").select(*KEYS, F.col("dst").alias("cid"), F.col("dst_port").alias("port"), F.col("src").alias("other"), F.col("label").alias("edge_label"))
@@ -66,7 +67,7 @@ def boundaries(carrier_nodes: DataFrame, carrier_edges: DataFrame, rules: DataFr
     context = F.transform("groups", lambda g: F.concat_ws("\x1f", g["other_kind"], g["other_label"], g["edge_label"], g["n"].cast("string")))
     moved = F.transform("autos", lambda a: F.transform("groups", lambda g: F.array_sort(F.transform(g["ports"], lambda p: F.get(a, p)))))
     ports = F.coalesce(F.array_min(moved), F.array().cast("array<array<int>>"))
-    return rows.select(*KEYS, "cid", "rank", F.size(F.flatten(ports)).alias("b"), F.coalesce(F.concat_ws("\x1e", context), F.lit("")).alias("context"), F.to_json(ports).alias("signature"))
+    return rows.select(*KEYS, "cid", "rank", F.size(F.flatten(ports)).alias("b"), F.coalesce(F.concat_ws("\x1e", context), F.lit("")).alias("context"), F.to_json(ports).alias("signature"), F.to_json(F.coalesce(F.col("groups.ports"), F.array().cast("array<array<int>>"))).alias("raw_signature"))
 
 
 def decode(carrier_nodes: DataFrame, carrier_edges: DataFrame, packed: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,16 +85,28 @@ def decode(carrier_nodes: DataFrame, carrier_edges: DataFrame, packed: DataFrame
     return plain.unionByName(inner), edges
 
 
+def decode_fresh(carrier_nodes: DataFrame, carrier_edges: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Graphs equal to the originals but for their ids, from carrier and dictionary alone: a node inside a supernode is named by it and its port. ``rules``: rank, labels, medges."""
+    name = lambda c, p: F.when(p.isNull(), c).otherwise(F.concat(c, F.lit(":"), p.cast("string")))
+    known = carrier_nodes.filter("kind = 'motif'").select(*KEYS, "cid", F.col("label").try_cast("int").alias("rank")).join(F.broadcast(rules.select("rank", "labels", "medges")), "rank")
+    inner = known.select(*KEYS, "cid", F.posexplode("labels").alias("port", "label")).select(*KEYS, name(F.col("cid"), F.col("port")).alias("node_id"), "label")
+    own = known.select(*KEYS, "cid", F.inline("medges")).select(*KEYS, name(F.col("cid"), F.col("a")).alias("x"), name(F.col("cid"), F.col("b")).alias("y"), "label")
+    outer = carrier_edges.select(*KEYS, name(F.col("src"), F.col("src_port")).alias("x"), name(F.col("dst"), F.col("dst_port")).alias("y"), "label")
+    nodes = carrier_nodes.filter("kind = 'data'").select(*KEYS, F.col("cid").alias("node_id"), "label").unionByName(inner)
+    return nodes, own.unionByName(outer).select(*KEYS, F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), "label")
+
+
 def mismatches(nodes: DataFrame, edges: DataFrame, got_nodes: DataFrame, got_edges: DataFrame) -> DataFrame:
     """(eval_id, graph_id, problem, n): rows of decoded graphs that differ from the originals; none if decoding is exact."""
     evals = got_nodes.select(*KEYS).distinct()
     want_n, want_e = evals.join(nodes.select("graph_id", "node_id", "label"), "graph_id").select(got_nodes.columns), evals.join(edges.select("graph_id", "u", "v", "label"), "graph_id").select(got_edges.columns)
-    found = [(want_n.exceptAll(got_nodes), "node lost"), (got_nodes.exceptAll(want_n), "node made up"), (want_e.exceptAll(got_edges), "edge lost"), (got_edges.exceptAll(want_e), "edge made up")]
-    out = None
-    for d, p in found:
-        d = d.select(*KEYS, F.lit(p).alias("problem"))
-        out = d if out is None else out.unionByName(d)
-    return out.groupBy(*KEYS, "problem").agg(F.count("*").alias("n"))
+    return differences(want_n, got_nodes, "node").unionByName(differences(want_e, got_edges, "edge")).groupBy(*KEYS, "problem").agg(F.sum("n").alias("n"))
+
+
+def differences(want: DataFrame, got: DataFrame, what: str) -> DataFrame:
+    """(eval_id, graph_id, problem, n): rows that one side has more often than the other, by one aggregation."""
+    both = want.withColumn("_d", F.lit(1)).unionByName(got.withColumn("_d", F.lit(-1))).groupBy(*want.columns).agg(F.sum("_d").alias("_d")).filter("_d != 0")
+    return both.select(*KEYS, F.when(F.col("_d") > 0, f"{what} lost").otherwise(f"{what} made up").alias("problem"), F.abs("_d").alias("n"))
 
 
 def port_histogram(carrier_edges: DataFrame, carrier_nodes: DataFrame) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.stats import bootstrap, unpivot
-from graphloom.operators.graphs import ordinal
+from graphloom.operators.graphs import ordinal, running
 from graphloom.operators.motifs import Rule
-from graphloom.plans.compressor import MotifCompressor, Result, store
+from graphloom.plans.compressor import MotifCompressor, Result
+from graphloom.runtime import store
 from graphloom.sources.sinks import markdown, write_bundle, write_json
 
 
@@ -41,10 +42,11 @@ def split(graphs: DataFrame, fit: int, evaluate: int, seed: int = 0) -> DataFram
 
 def stratified_holdout(graphs: DataFrame, share: float, seed: int = 0, label: str = "label") -> DataFrame:
     """graphs with held_out: of each class the rounded share by hash, at least one and not all where the class has two."""
-    n = F.count("*").over(W.partitionBy(label))
-    rank = F.row_number().over(W.partitionBy(label).orderBy(hash_order(seed), "graph_id"))
+    size = graphs.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
+    ranked = running(graphs.withColumn("_h", hash_order(seed)), [label], [F.col("_h"), F.col("graph_id")], {}).join(size, F.col(label).eqNullSafe(F.col("_l")))
+    n = F.col("_n")
     take = F.when(n > 1, F.least(F.greatest(F.round(n * share), F.lit(1)), n - 1)).otherwise(0)
-    return graphs.withColumn("held_out", rank <= take)
+    return ranked.withColumn("held_out", F.col("k") <= take).select(*graphs.columns, "held_out")
 
 
 def coalesced_columns(rows: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 from math import log2
 
@@ -11,20 +10,12 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import costs, graphs, motifs, rewriting
 from graphloom.operators.motifs import Rule
-from graphloom.runtime import shared_folder
+from graphloom.runtime import store
 
 SELECTORS = ("sparse", "per_graph", "all_eligible")
 SELECTIONS = ("best", "best_nonempty", "fixed")
 
 
-def store(df: DataFrame, label: str = "graphs") -> DataFrame:
-    """Written to the shared folder and read again, so that it runs once and a lost executor costs no lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def positive_bits(n: int) -> float:
     n = max(n, 1)
     return log2(n) + log2(n + 1)
@@ -104,8 +95,8 @@ class MotifCompressor:
 
     # evaluation of many dictionaries in one plan
 
-    def _evaluate(self, nodes: DataFrame, edges: DataFrame, occ: DataFrame, use: DataFrame, rules: list[Rule], sizes: dict[int, int], dictionary: dict[int, float]):
-        """``use``: (eval_id, rank, code); ``sizes``: rules of each eval. Returns baseline, per graph and eval costs, carriers, packing, totals."""
+    def _evaluate(self, nodes: DataFrame, edges: DataFrame, occ: DataFrame, base: DataFrame, use: DataFrame, rules: list[Rule], sizes: dict[int, int], dictionary: dict[int, float]):
+        """``base``: baseline bits; ``use``: (eval_id, rank, code); ``sizes``: rules of each eval. Returns per graph and eval costs, carriers, packing, totals."""
         spark = nodes.sparkSession
         table = motifs.rule_table(spark, rules)
         cands = occ.select("graph_id", "code", "mapping", "ext").join(F.broadcast(use), "code").join(F.broadcast(table.select("rank", "m_edges", "m_size")), "rank")
@@ -118,13 +109,20 @@ class MotifCompressor:
         if len(set(sizes.values())) == 1:
             n_rules = F.lit(next(iter(sizes.values())))
         cost = costs.rewrite_costs(cn, ce, table, n_rules, self.node_alphabet, self.edge_alphabet)
-        base = store(costs.baseline_bits(nodes, edges, self.node_alphabet, self.edge_alphabet), "baseline")
         picked = packed.groupBy("eval_id", "graph_id").agg(F.count("*").alias("n_occurrences"))
         per = cost.join(picked, ["eval_id", "graph_id"]).join(base, "graph_id")
         per = store(per.withColumn("gain", F.col("bits") - F.col("template") - F.col("boundary")), "costs")
         n = base.count()
         total = spark.createDataFrame([(e, n, float(dictionary[e])) for e in sizes], "eval_id int, n_graphs long, dictionary double")
-        return base, per, cn, ce, packed, total
+        return per, cn, ce, packed, total
+
+    def _baseline(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        return store(costs.baseline_bits(nodes, edges, self.node_alphabet, self.edge_alphabet), "baseline")
+
+    def _nets(self, per: DataFrame, total: DataFrame) -> tuple[dict, dict]:
+        """What each eval selects, free and forced."""
+        curve = store(costs.sparse_curve(per, total, self.model_choice_bits), "curve") if self.selector == "sparse" else None
+        return tuple({r.eval_id: r for r in costs.select_graphs(per, total, self.selector, self.model_choice_bits, forced, curve).collect()} for forced in (False, True))
 
     def _rule_bits(self, spark: SparkSession, rules: list[Rule]) -> list[float]:
         """Bits of each motif as a graph."""
@@ -146,14 +144,14 @@ class MotifCompressor:
         self.seen = support.select("code")
         top = motifs.top_motifs(support, self.max_candidates, self.min_graph_support, self.min_occurrences).collect()  # max_candidates rows
         found = [Rule.of(i, r.code) for i, r in enumerate(top)]
+        base = self._baseline(nodes, edges) if found else None
         self._candidates, ranked = [], []
         if found:
             bits = self._rule_bits(spark, found)
             one = {r.rank: positive_bits(1) + b for r, b in zip(found, bits, strict=True)}
             use = spark.createDataFrame([(r.rank, r.rank, r.code) for r in found], "eval_id int, rank int, code string")
-            base, per, _, _, packed, total = self._evaluate(nodes, edges, occ, use, found, {r.rank: 1 for r in found}, one)
-            free = {r.eval_id: r for r in costs.select_graphs(per, total, self.selector, self.model_choice_bits).collect()}
-            forced = {r.eval_id: r for r in costs.select_graphs(per, total, self.selector, self.model_choice_bits, forced=True).collect()}
+            per, _, _, _, total = self._evaluate(nodes, edges, occ, base, use, found, {r.rank: 1 for r in found}, one)
+            free, forced = self._nets(per, total)
             kept = {r.eval_id: r for r in per.groupBy("eval_id").agg(F.sum("n_occurrences").alias("n"), F.count("*").alias("g"), F.sum("gain").alias("gain"), F.sum("boundary").alias("boundary")).collect()}
             for r, t in zip(found, top, strict=True):
                 k = kept.get(r.rank)
@@ -172,9 +170,8 @@ class MotifCompressor:
             bits = self._rule_bits(spark, ranked)
             dictionary = {k: positive_bits(k) + sum(bits[:k]) for k in range(1, len(ranked) + 1)}
             use = spark.createDataFrame([(k, r.rank, r.code) for k in dictionary for r in ranked[:k]], "eval_id int, rank int, code string")
-            _, per, _, _, _, total = self._evaluate(nodes, edges, occ, use, ranked, {k: k for k in dictionary}, dictionary)
-            free = {r.eval_id: r for r in costs.select_graphs(per, total, self.selector, self.model_choice_bits).collect()}
-            forced = {r.eval_id: r for r in costs.select_graphs(per, total, self.selector, self.model_choice_bits, forced=True).collect()}
+            per, _, _, _, total = self._evaluate(nodes, edges, occ, base, use, ranked, {k: k for k in dictionary}, dictionary)
+            free, forced = self._nets(per, total)
             for k in dictionary:
                 self._path.append({"n_rules": k, "dictionary_bits": dictionary[k], "n_selected": free[k].n_selected, "net_savings_bits": free[k].net, "forced_savings_bits": forced[k].net, "eligible": k <= allowed})
         options = [p for p in self._path if p["eligible"]]
@@ -195,7 +192,8 @@ class MotifCompressor:
         nodes, edges, occ = self._prepared(nodes, edges)
         use = spark.createDataFrame([(0, r.rank, r.code) for r in rules], "eval_id int, rank int, code string")
         dictionary = positive_bits(len(rules)) + sum(self._rule_bits(spark, rules)) if rules else 0.0
-        base, per, cn, ce, packed, total = self._evaluate(nodes, edges, occ, use, rules, {0: len(rules)}, {0: dictionary})
+        base = self._baseline(nodes, edges)
+        per, cn, ce, packed, total = self._evaluate(nodes, edges, occ, base, use, rules, {0: len(rules)}, {0: dictionary})
         chosen = store(costs.select_graphs(per, total, self.selector, self.model_choice_bits, forced), "chosen")
         flagged = costs.used(per, chosen)
         met = occ.groupBy("graph_id").agg(F.count("*").alias("graphlets"))

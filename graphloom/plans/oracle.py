@@ -70,7 +70,7 @@ def L(n: str) -> str:
 
 
 GAINS = """
-per AS (SELECT c_nationkey % 3 AS eval_id, c_custkey AS graph_id, round(c_acctbal / 100 - 20, 4) AS gain FROM customer WHERE c_custkey % 7 <> 0),
+per AS (SELECT c_nationkey % 3 AS eval_id, c_custkey AS graph_id, round(c_acctbal / 100 - 20, 4) AS gain FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)),
 total AS (SELECT c_nationkey % 3 AS eval_id, count(*) AS n_graphs, 12.5 * (c_nationkey % 3 + 1) AS dictionary FROM customer GROUP BY 1, c_nationkey % 3),
 ranked AS (SELECT eval_id, graph_id, gain, row_number() OVER (PARTITION BY eval_id ORDER BY gain DESC, graph_id) AS k, sum(gain) OVER (PARTITION BY eval_id ORDER BY gain DESC, graph_id ROWS UNBOUNDED PRECEDING) AS gain_sum FROM per),
 curve AS (SELECT eval_id, k, gain_sum, gain_sum - dictionary - """ + L("k") + " - (" + lf("n_graphs") + " - " + lf("k") + " - " + lf("n_graphs - k") + """) - 1 AS net FROM ranked JOIN total USING (eval_id)
@@ -98,8 +98,8 @@ SELECT graph_id, 'self-loop' AS problem, count(*) AS n FROM loops GROUP BY 1
 UNION ALL SELECT graph_id, 'unknown end', 2 * count(*) FROM loops l WHERE NOT EXISTS (SELECT 1 FROM cn WHERE cn.graph_id = l.graph_id AND cn.node_id = l.u) GROUP BY 1
 UNION ALL SELECT graph_id, 'repeated edge', count(*) FROM twice GROUP BY 1""",
     "label_alphabet": f"WITH {PARTS} SELECT label, count(*) AS n FROM dn GROUP BY 1",
-    "normalize_ids": f"""WITH {SUPPLY}, i AS (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) - 1 AS r FROM cn)
-SELECT ce.graph_id, least(x.r, y.r) AS u, greatest(x.r, y.r) AS v FROM ce JOIN i x ON x.graph_id = ce.graph_id AND x.node_id = u JOIN i y ON y.graph_id = ce.graph_id AND y.node_id = v""",
+    "normalize_ids": f"""WITH {SUPPLY}, i AS MATERIALIZED (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) - 1 AS r FROM cn)
+SELECT e.graph_id, least(x.r, y.r) AS u, greatest(x.r, y.r) AS v FROM (SELECT * FROM ce) e JOIN i x ON x.graph_id = e.graph_id AND x.node_id = e.u JOIN i y ON y.graph_id = e.graph_id AND y.node_id = e.v""",
     "collapse_parallel": """WITH e AS (SELECT o_custkey AS graph_id, least(l_orderkey * 2, l_suppkey * 2 + 1) AS u, greatest(l_orderkey * 2, l_suppkey * 2 + 1) AS v, l_returnflag AS label FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT graph_id, u, v, string_agg(label, '+' ORDER BY label) AS label FROM e GROUP BY 1, 2, 3""",
     "topology_metrics": f"""WITH {FLOW}, t AS (SELECT x.graph_id, x.u AS c, count(*) AS t FROM ba x JOIN ba y ON x.graph_id = y.graph_id AND x.u = y.u AND x.v < y.v JOIN be e ON e.graph_id = x.graph_id AND e.u = x.v AND e.v = y.v GROUP BY 1, 2),
@@ -191,7 +191,7 @@ p AS (SELECT x.s - y.s AS saved, x.s / y.s AS speedup FROM c x JOIN c y ON x.pai
     "pareto_frontier": "SELECT r.p_partkey, NOT EXISTS (SELECT 1 FROM part o WHERE o.p_size >= r.p_size AND o.p_retailprice >= r.p_retailprice AND (o.p_size > r.p_size OR o.p_retailprice > r.p_retailprice)) AS on_frontier FROM part r",
     "sign_test": f"""WITH c AS (SELECT c_nationkey, count(*) FILTER (c_acctbal > 4500) AS s, count(*) AS n FROM customer GROUP BY 1), k AS (SELECT *, unnest(range(s, n + 1)) AS k FROM c)
 SELECT c_nationkey, s, n, round(sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))), 6) AS p FROM k GROUP BY 1, 2, 3""",
-    "bootstrap_ci": """WITH v AS (SELECT s_suppkey - 1 AS pos, s_acctbal AS value FROM supplier WHERE s_suppkey <= 100), n AS (SELECT count(*) AS n FROM v), d AS (SELECT r, CAST('0x' || substr(md5('3:' || r || ':' || j), 1, 8) AS BIGINT) % n AS pos FROM n, range(200) AS a(r), range(n) AS b(j)),
+    "bootstrap_ci": """WITH v AS (SELECT s_suppkey - 1 AS pos, s_acctbal AS value FROM supplier), n AS (SELECT count(*) AS n FROM v), d AS (SELECT r, CAST('0x' || substr(md5('3:' || r || ':' || j), 1, 8) AS BIGINT) % n AS pos FROM n, range(200) AS a(r), range(n) AS b(j)),
 m AS (SELECT r, avg(value) AS m FROM d JOIN v USING (pos) GROUP BY 1) SELECT round((SELECT avg(value) FROM v), 4) AS estimate, round(quantile_cont(m, 0.025), 4) AS lower, round(quantile_cont(m, 0.975), 4) AS upper FROM m""",
     "task_manifest": """WITH t AS (SELECT r AS repeat, c AS rule_count, CASE WHEN r % 2 = 0 THEN c ELSE 3 - c END AS o FROM range(2) AS a(r), range(4) AS b(c))
 SELECT repeat * 4 + o AS task_id, repeat, CAST(rule_count AS INT) AS rule_count, CASE WHEN rule_count = 0 THEN 'original' ELSE 'tokenized' END AS representation, CAST(o AS INT) AS order_position, 10 + repeat AS seed FROM t""",
@@ -206,4 +206,31 @@ SELECT graph_id, label, k <= CASE WHEN n > 1 THEN least(greatest(round(n * 0.2),
 s AS (SELECT graph_id, count(*) AS nodes, CAST(sum(degree) // 2 AS BIGINT) AS edges, max(degree) AS max_degree, CAST(sum(degree * (degree - 1) // 2) AS BIGINT) AS wedges FROM d GROUP BY 1)
 SELECT s.*, (SELECT count(*) FROM al WHERE al.graph_id = s.graph_id AND pattern = 'click-click-click') AS clicks, (SELECT count(*) FROM al WHERE al.graph_id = s.graph_id AND pattern = 'view-view-view') AS views FROM s""",
     "alias_columns": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE 1.5 END AS gain FROM customer",
+    "hash_classes": f"WITH {CHAIN} SELECT count(DISTINCT graph_id) AS graph_support, count(*) AS occurrences FROM al GROUP BY pattern",
+    "enum_exhaustive": f"WITH {FLOW}, t AS (SELECT DISTINCT x.graph_id, list_sort([x.u, x.v, y.v]) AS s FROM ba x JOIN ba y ON x.graph_id = y.graph_id AND x.u = y.u AND x.v < y.v) SELECT graph_id, count(*) AS n FROM t GROUP BY 1",
+    "enumeration_totals": f"WITH {CHAIN}, g AS (SELECT graph_id, count(*) AS n FROM al GROUP BY 1) SELECT CAST(3 AS INT) AS size, CAST(sum(n) AS BIGINT) AS occurrences, max(n) AS most, count(*) AS graphs, (SELECT count(DISTINCT pattern) FROM al) AS classes FROM g",
+    "sample_manifest": f"""WITH {SUPPLY}, el AS (SELECT * FROM cs WHERE nodes <= 40 AND edges <= 60 AND max_degree <= 8 AND wedges <= 120),
+b AS (SELECT *, CAST((row_number() OVER (ORDER BY nodes, edges, max_degree, wedges, graph_id) - 1) * 3 // (SELECT count(*) FROM el) AS BIGINT) AS bin, md5('5:' || graph_id) AS h FROM el),
+r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY h, graph_id) > 6 + CASE WHEN bin < 2 THEN 1 ELSE 0 END AS spare FROM b),
+p AS (SELECT *, row_number() OVER (ORDER BY spare, h, graph_id) - 1 AS a FROM r)
+SELECT 'orders' AS dataset, 5 AS seed, CASE WHEN a < 12 THEN 'fit' ELSE 'eval' END AS split, CASE WHEN a < 12 THEN a ELSE a - 12 END AS sample_position, graph_id, bin AS size_bin, nodes, edges, max_degree, wedges, (SELECT count(*) FROM el) AS eligible_graphs, (SELECT count(*) FROM cs) AS all_graphs FROM p WHERE a < 20""",
+    "fresh_decode": f"WITH RECURSIVE {PACK} SELECT graph_id, n AS nodes, n - 1 AS edges, CAST(2 AS BIGINT) AS leaves FROM pk",
+    "port_counts": f"""WITH RECURSIVE {PACK}, e AS (SELECT unnest([CASE WHEN x.d > 1 THEN 0 END, CASE WHEN y.d > 1 THEN 1 END]) AS port FROM packed p JOIN ap ON ap.graph_id = p.graph_id AND ap.c = p.centre
+JOIN deg x ON x.graph_id = p.graph_id AND x.node_id = a JOIN deg y ON y.graph_id = p.graph_id AND y.node_id = b) SELECT 0 AS rank, CAST(port AS INT) AS port, count(*) AS n FROM e WHERE port IS NOT NULL GROUP BY 2""",
+    "null_aware_deltas": """WITH c AS (SELECT c_nationkey, c_custkey % 2 AS side, CASE WHEN c_custkey % 50 <> 0 THEN c_acctbal END AS a, c_acctbal AS b FROM customer),
+s AS (SELECT c_nationkey, side, CASE WHEN count(a) = count(*) THEN avg(a) END AS a, avg(b) AS b FROM c GROUP BY 1, 2),
+j AS (SELECT coalesce(x.c_nationkey, y.c_nationkey) AS c_nationkey, x.a AS a0, y.a AS a1, x.b AS b0, y.b AS b1 FROM (SELECT * FROM s WHERE side = 0) x FULL JOIN (SELECT * FROM s WHERE side = 1) y ON x.c_nationkey = y.c_nationkey)
+SELECT c_nationkey, round(a0, 6) AS a_before, round(a1, 6) AS a_after, round(a1 - a0, 6) AS a_delta, round(b0, 6) AS b_before, round(b1, 6) AS b_after, round(b1 - b0, 6) AS b_delta FROM j""",
+    "tradeoff_points": """WITH o AS (SELECT o_orderpriority, CAST(o_totalprice AS DOUBLE) AS x, 100000.0::DOUBLE + (o_orderkey % 7) * 10000 AS y, o_custkey % 3 - o_orderkey % 3 AS g FROM orders)
+SELECT o_orderpriority, round(median(x), 6) AS median_before, round(median(y), 6) AS median_after, round(median(x) / median(y), 6) AS ratio_of_medians, round(median(x / y), 6) AS median_speedup, round(min(x / y), 6) AS least_speedup, round(max(x / y), 6) AS most_speedup,
+  count(*) FILTER (x / y > 1) AS faster, count(*) FILTER (x / y < 1) AS slower, count(*) FILTER (g > 0) AS better, count(*) FILTER (g = 0) AS equal, count(*) FILTER (g < 0) AS worse, count(*) AS n FROM o GROUP BY 1""",
+    "preservation": """WITH m AS (SELECT c_mktsegment, c_custkey % 5 AS f, avg(c_acctbal) AS m FROM customer GROUP BY 1, 2), s AS (SELECT c_mktsegment, median((c_acctbal + 2000) / 1000) AS s FROM customer GROUP BY 1)
+SELECT c_mktsegment, round(avg(m), 6) AS mean, round(stddev_samp(m) / sqrt(count(*)), 6) AS sem, count(*) AS folds, round(any_value(s), 6) AS median_speedup FROM m JOIN s USING (c_mktsegment) GROUP BY 1""",
+    "merged_metrics": """WITH c AS (SELECT c_nationkey, c_custkey % 2 AS side, count(*) AS n, max(c_acctbal) AS best FROM customer GROUP BY 1, 2)
+SELECT x.c_nationkey, x.n, y.n AS original_n, round(x.n / y.n, 6) AS n_kept, round(CASE WHEN y.best <> 0 THEN x.best / y.best END, 6) AS best_kept FROM c x JOIN c y ON x.c_nationkey = y.c_nationkey AND x.side = 1 AND y.side = 0""",
+    "top_by_value": "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10",
+    "accountant_comparison": f"""WITH d AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS n FROM part WHERE p_size > 0), u AS (SELECT n, n * (n + 1) // 2 AS u, length(bin(n)) AS l FROM d), t AS (SELECT *, {lf('u')} - {lf('n')} - {lf('u - n')} AS t FROM u)
+SELECT n, round(log2(n) + log2(n + 1), 6) AS analytic, l + 2 * length(bin(l)) - 2 AS integer, round(t, 6) AS analytic_topology, CAST(greatest(ceil(t - 1e-7), 0) AS BIGINT) AS integer_topology FROM t""",
+    "broken_rules": """SELECT * FROM (SELECT 'few lines' AS rule, count(*) FILTER (NOT coalesce(l_linenumber <= 3, false)) AS n FROM lineitem UNION ALL SELECT 'known flag', count(*) FILTER (NOT coalesce(l_returnflag IN ('A', 'N'), false)) FROM lineitem
+UNION ALL SELECT 'quantity is positive', count(*) FILTER (NOT coalesce(l_quantity > 0, false)) FROM lineitem) WHERE n > 0""",
 }

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions import accounting, codelength, stats
-from graphloom.operators import costs, graphs, motifs, rewriting
+from graphloom.functions import accounting, codelength, stats, summaries
+from graphloom.operators import costs, graphs, hashing, motifs, rewriting
 from graphloom.operators.motifs import GROUP, UNIT, Rule
 from graphloom.plans import analysis, oracle
-from graphloom.plans.compressor import MotifCompressor, positive_bits, store
-from graphloom.runtime import shared_folder
+from graphloom.plans.compressor import MotifCompressor, positive_bits
+from graphloom.runtime import scratch_path, store
 from graphloom.sources import corpora, files, sinks
 from graphloom.sources.corpora import co_purchase, event_chain, event_flow, order_supplier, read
 
@@ -146,7 +145,7 @@ def tu_round_trip(spark, sf_dir):
     nodes, edges = order_supplier(spark, sf_dir)
     ids = nodes.select("graph_id").distinct().withColumn("label", (F.col("graph_id") % 2).cast("int"))
     marker = store(ids, "tu-graphs")
-    root = f"{shared_folder(spark)}/tu-{uuid.uuid4().hex[:8]}"
+    root = scratch_path(spark, "tu")
     sinks.write_tu(root, "C", marker, nodes, edges)
     t = files.load_tu(spark, root, "C")
     n = t["nodes"].groupBy("graph_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("label") == "S").alias("suppliers"))
@@ -248,9 +247,7 @@ def feature_matrix(spark, sf_dir):
 
 @query
 def external_degree(spark, sf_dir):
-    nodes, edges = co_purchase(spark, sf_dir)
-    sets = motifs.enumerate_sets(nodes, edges, 3)
-    d = motifs.described(sets, nodes, edges, 3)
+    d = motifs.triples(*co_purchase(spark, sf_dir))
     return d.groupBy("graph_id", F.size("inner").alias("edges")).agg(F.count("*").alias("n"), F.sum("ext").alias("ext"))
 
 
@@ -337,9 +334,9 @@ def label_bits(spark, sf_dir):
 
 @query
 def dictionary_bits(spark, sf_dir):
-    """Bits of the dictionary of all event-chain classes that ten graphs have."""
+    """Bits of the dictionary of all event-chain classes that two graphs have."""
     occ = motifs.occurrences(*event_chain(spark, sf_dir), (3,))
-    top = motifs.motif_support(occ).filter("graph_support >= 2").orderBy("code").limit(100).collect()
+    top = motifs.motif_support(occ).filter("graph_support >= 2").orderBy("code").collect()  # classes of the few event types
     m = MotifCompressor()
     m.node_alphabet, m.edge_alphabet = 5, 1
     rules = [Rule.of(i, r.code) for i, r in enumerate(top)]
@@ -369,8 +366,10 @@ def multigrain_costs(spark, sf_dir):
 
 
 def gains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers with orders are the eligible graphs."""
     c = read(spark, sf_dir, "customer")
-    per = c.select((F.col("c_nationkey") % 3).alias("eval_id"), F.col("c_custkey").alias("graph_id"), F.round(F.col("c_acctbal") / 100 - 20, 4).alias("gain")).filter("graph_id % 7 != 0")
+    ordered = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("graph_id"))
+    per = c.select((F.col("c_nationkey") % 3).alias("eval_id"), F.col("c_custkey").alias("graph_id"), F.round(F.col("c_acctbal") / 100 - 20, 4).alias("gain")).join(ordered, "graph_id", "left_semi").select("eval_id", "graph_id", "gain")
     total = c.groupBy((F.col("c_nationkey") % 3).alias("eval_id")).agg(F.count("*").alias("n_graphs")).withColumn("dictionary", F.lit(12.5) * (F.col("eval_id") + 1))
     return per, total
 
@@ -565,4 +564,94 @@ def alias_columns(spark, sf_dir):
     return analysis.coalesced_columns(c, {"gain": ("net_gain",)})
 
 
+# hashes, samples, summaries
+
+
+@query
+def hash_classes(spark, sf_dir):
+    """Sizes of the classes that the recursive hash makes of three-node sets."""
+    sets = hashing.hashed_sets(*event_chain(spark, sf_dir), 3).filter("size = 3")
+    return sets.groupBy("hash").agg(F.count_distinct("graph_id").alias("graph_support"), F.count("*").alias("occurrences")).drop("hash")
+
+
+@query
+def enum_exhaustive(spark, sf_dir):
+    return per_graph_count(hashing.exhaustive_sets(*event_flow(spark, sf_dir), 3))
+
+
+@query
+def enumeration_totals(spark, sf_dir):
+    return summaries.enumeration_totals(motifs.occurrences(*event_chain(spark, sf_dir), (3,)))
+
+
+@query
+def sample_manifest(spark, sf_dir):
+    return graphs.sample_manifest(graphs.complexity(*order_supplier(spark, sf_dir)), "orders", 12, 8, 5, 3, nodes=40, edges=60, max_degree=8, wedges=120)
+
+
+@query
+def fresh_decode(spark, sf_dir):
+    """Sizes and leaves of the graphs decoded from carriers and dictionary alone."""
+    nodes, edges, packed, rule = path_packing(spark, sf_dir)
+    cn, ce = rewriting.contract(nodes, edges, packed)
+    table = spark.createDataFrame([(0, rule.labels, [{"a": a, "b": b, "label": c} for a, b, c in rule.edges])], "rank int, labels array<string>, medges array<struct<a:int,b:int,label:string>>")
+    n, e = rewriting.decode_fresh(cn, ce, table)
+    e = e.select("graph_id", F.col("u"), F.col("v"), "label")
+    d = graphs.degrees(n.select("graph_id", "node_id"), e)
+    return d.groupBy("graph_id").agg(F.count_distinct("node_id").alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"), F.count_if(F.col("degree") == 1).alias("leaves"))
+
+
+@query
+def port_counts(spark, sf_dir):
+    """Boundary edges at each port of the packed paths."""
+    nodes, edges, packed, _ = path_packing(spark, sf_dir)
+    cn, ce = rewriting.contract(nodes, edges, packed)
+    return rewriting.port_histogram(ce, cn).select("rank", F.col("port").cast("int").alias("port"), "n")
+
+
+@query
+def null_aware_deltas(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_nationkey", F.when(F.col("c_custkey") % 2 == 0, "plain").otherwise("token").alias("side"), F.when(F.col("c_custkey") % 50 != 0, F.col("c_acctbal")).alias("a"), F.col("c_acctbal").alias("b"))
+    d = summaries.deltas(c, ["c_nationkey"], "side", "plain", "token", ["a", "b"])
+    return d.select("c_nationkey", *[bits(x).alias(x) for x in ("a_before", "a_after", "a_delta", "b_before", "b_after", "b_delta")])
+
+
+@query
+def tradeoff_points(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_totalprice").alias("x"), (F.lit(100000.0) + (F.col("o_orderkey") % 7) * 10000).alias("y"), (F.col("o_orderkey") % 3).alias("p"), (F.col("o_custkey") % 3).alias("q"))
+    t = summaries.tradeoff_points(o, ["o_orderpriority"], "x", "y", "p", "q")
+    return t.select("o_orderpriority", *[bits(x).alias(x) for x in ("median_before", "median_after", "ratio_of_medians", "median_speedup", "least_speedup", "most_speedup")], "faster", "slower", "better", "equal", "worse", "n")
+
+
+@query
+def preservation(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_mktsegment", (F.col("c_custkey") % 5).alias("fold"), "c_acctbal", ((F.col("c_acctbal") + 2000) / 1000).alias("speedup"))
+    r = summaries.preservation(c, ["c_mktsegment"], "fold", "c_acctbal", "speedup")
+    return r.select("c_mktsegment", bits("mean").alias("mean"), bits("sem").alias("sem"), "folds", bits("median_speedup").alias("median_speedup"))
+
+
+@query
+def merged_metrics(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").groupBy("c_nationkey", (F.col("c_custkey") % 2).alias("side")).agg(F.count("*").alias("n"), F.max("c_acctbal").alias("best"))
+    m = summaries.merge_metrics(c.filter("side = 1").drop("side"), c.filter("side = 0").drop("side"), ["c_nationkey"], ["n", "best"])
+    return m.select("c_nationkey", "n", "original_n", bits("n_kept").alias("n_kept"), bits("best_kept").alias("best_kept"))
+
+
+@query
+def top_by_value(spark, sf_dir):
+    return summaries.top_by(read(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", 10, "p_partkey")
+
+
+@query
+def accountant_comparison(spark, sf_dir):
+    n = read(spark, sf_dir, "part").filter("p_size > 0").select(F.col("p_size").cast("long").alias("n")).distinct()
+    return n.select("n", *summaries.accountant_comparison(F.col("n"))).withColumns({c: bits(c) for c in ("analytic", "analytic_topology")})
+
+
+@query
+def broken_rules(spark, sf_dir):
+    rules = {"quantity is positive": F.col("l_quantity") > 0, "few lines": F.col("l_linenumber") <= 3, "known flag": F.col("l_returnflag").isin("A", "N")}
+    return summaries.validated(read(spark, sf_dir, "lineitem"), rules)
+
+
 ORACLE_SQL = {k: v for k, v in oracle.SQL.items() if k in QUERIES}

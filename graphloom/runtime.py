@@ -6,9 +6,12 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -33,9 +36,11 @@ _made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share. Where that is unset, a temporary one with a local master; an error with any other."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         _made.append(root)
@@ -46,3 +51,43 @@ def shared_folder(spark: SparkSession) -> str:
 def _forget() -> None:
     for d in _made:
         shutil.rmtree(d.removeprefix("file://"), ignore_errors=True)
+
+
+_written: list[str] = []
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, which ``forget`` or the ``passing`` around it deletes."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _written.append(path)
+    return path
+
+
+def store(df: DataFrame, label: str = "graphs") -> DataFrame:
+    """Written to the shared folder and read again, so that it runs once and a lost executor costs no lineage."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written() -> int:
+    """How many stored tables there are: a place to ``forget`` from."""
+    return len(_written)
+
+
+def forget(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes what ``store`` wrote, from the ``since``-th table on, but for the tables that ``keep`` reads. Lazy results that still read others fail after that."""
+    held = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for d in keep for f in d.inputFiles()}
+    jvm = spark.sparkContext._jvm
+    for path in [p for p in _written[since:] if p.rsplit("/", 1)[-1] not in held]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables stored inside go at its end, but for those that a table put into the list reads."""
+    since, keep = written(), []
+    yield keep
+    forget(spark, since, tuple(keep))
