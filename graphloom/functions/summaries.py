@@ -12,7 +12,7 @@ from graphloom.functions.stats import finite
 
 def deltas(rows: DataFrame, on: list[str], side: str, before: str, after: str, values: list[str]) -> DataFrame:
     """Mean of each value on both sides and the difference; null where a side is missing or has a value that is not finite."""
-    clean = lambda v: F.when(F.count(v) == F.count_if(finite(F.col(v).cast("double"))), F.avg(v))
+    clean = lambda v: F.when(F.count("*") == F.count_if(finite(F.col(v).cast("double"))), F.avg(v))
     of = lambda s, t: rows.filter(F.col(side) == s).groupBy(*on).agg(*[clean(v).alias(f"{v}_{t}") for v in values])
     both = of(before, "before").join(of(after, "after"), on, "full_outer")
     return both.withColumns({f"{v}_delta": F.col(f"{v}_after") - F.col(f"{v}_before") for v in values})
