@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, mixing, neardup, quality, suffix_dedup
 from graphloom.llm.common import stored, table
+from graphloom.runtime import passing
 
 ID, TEXT = "doc_id", "text"
 OWN = ("size", "source_size", "target", "copies", "taken")  # of the mix; columns of documents with these names end there
@@ -60,7 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result is written and read again; what it wrote on the way, and its input, go then."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    with passing(spark) as keep:
+        for name, stage in STAGES[:-1]:
+            with passing(spark) as result:
+                docs = stored(stage(spark, docs, sf_dir), name)
+                result.append(docs)
+        keep.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
