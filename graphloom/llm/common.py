@@ -6,7 +6,6 @@ they are called, never reach an operator's own names.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +14,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.runtime import shared_folder, ship
+from graphloom.runtime import scratch_path, ship
+from graphloom.runtime import store as stored
+
+__all__ = ["scratch_path", "stored", "ship"]  # passed on to the operators
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -27,17 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: it runs once, and a lost executor costs no lineage."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of at most ROWS_PER_BATCH rows and about BYTES_PER_BATCH bytes, so that a Python worker holds few long texts at once; ships the package.
 

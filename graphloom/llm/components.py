@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import stored
+from graphloom.runtime import forget, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -23,16 +24,20 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) pairs of longs to (node, comp): comp is the least node that is reached. Nodes without an edge to another have no row.
+    """(a, b) pairs of longs to (node, comp), stored: comp is the least node that is reached. Nodes without an edge to another have no row.
 
-    Nulls and loops link nothing. The driver sees a count and a checksum for each round.
+    Nulls and loops link nothing. The driver sees a count and a checksum for each round; a round's table goes when the next one stands.
     """
+    spark = edges.sparkSession
+    since, mark = written(), None
     now = stored(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a != b").distinct(), "edges")
-    mark = None
     while True:
         now = stored(_small(_large(now)), "edges")
+        forget(spark, since, (now,))
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if new == mark:
             break
         mark = new
-    return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
+    out = stored(now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct(), "components")
+    forget(spark, since, (out,))
+    return out
