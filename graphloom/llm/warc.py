@@ -65,11 +65,16 @@ def number(urn: str | None) -> int | None:
     return int(urn.strip("<>").rpartition(":")[2]) if urn else None
 
 
+FEW_DIGESTS = 1_000_000  # repeated payloads whose digests are broadcast, at most; more are joined by a shuffle
+
+
 def classify(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int) -> DataFrame:
     """page_id, url, html, revisit, refers_to. Of equal payloads, those with the largest id are responses."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     top = rows.filter(F.octet_length("html") >= least).groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1")
+    top = stored(top.drop("n"), "warc-repeated")
+    top = F.broadcast(top) if top.count() <= FEW_DIGESTS else top
     revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return rows.join(top, "sha", "left").select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("top")).alias("refers_to"))
 
