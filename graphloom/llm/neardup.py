@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import WordHash, bound_batches, mix64, per_row, stored, table, texts, to_arrow
 from graphloom.llm.components import components
+from graphloom.runtime import passing
 
 SIMILAR = 80  # per cent
 ROWS, BANDS = 4, 32  # at similarity 0.8 no band agrees with probability 5e-8, fewer than two with 1e-6
@@ -36,6 +37,7 @@ MISS = 1e-6
 TILE = 1024  # classes on a side of what a task compares at once
 TILE_BYTES = 4 << 20  # of their sets, about
 TASK_ROWS = 4 * TILE
+PAIRS_AT_ONCE = 100_000
 
 _hash = WordHash()
 _rng = np.random.default_rng(97)
@@ -180,7 +182,7 @@ def meetings(mixed: DataFrame) -> DataFrame:
 
 
 def tiled(met: DataFrame) -> DataFrame:
-    """(k1, k2, i, j, loose, cid, comp): in a tile the loose classes of block i, those outside the largest component, stand against all of block j.
+    """(k1, k2, i, j, loose, out, cid, comp): in a tile the loose classes of block i, those outside the largest component, stand against all of block j; ``out`` marks loose ones on either side.
 
     A block has about TILE classes and TILE_BYTES of sets at most.
     """
@@ -188,10 +190,10 @@ def tiled(met: DataFrame) -> DataFrame:
     blocks = lambda c, w: F.greatest(F.ceil(c / TILE), F.ceil(w * 8 / TILE_BYTES)).cast("int")
     size = comps.groupBy("k1", "k2").agg(F.max(F.struct("c", "w", "comp")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"))
     size = size.select("k1", "k2", F.col("top.comp").alias("top"), blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("ni"), blocks(F.col("c"), F.col("w")).alias("nj"))
-    rows = met.join(size, ["k1", "k2"])
+    rows = met.join(size, ["k1", "k2"]).withColumn("out", F.col("comp") != F.col("top"))
     own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("cid")), F.col(n)).cast("int")
-    loose = rows.filter("comp != top").select("k1", "k2", own(5, "ni").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("loose"), "cid", "comp")
-    every = rows.select("k1", "k2", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), own(6, "nj").alias("j"), F.lit(False).alias("loose"), "cid", "comp")
+    loose = rows.filter("out").select("k1", "k2", own(5, "ni").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("loose"), "out", "cid", "comp")
+    every = rows.select("k1", "k2", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), own(6, "nj").alias("j"), F.lit(False).alias("loose"), "out", "cid", "comp")
     return loose.unionByName(every)
 
 
@@ -206,76 +208,63 @@ def across(mixed: DataFrame, sigs: DataFrame, sets: Callable[[DataFrame], DataFr
     tiles = stored(tiled(stored(meetings(mixed), "meetings")), "tiles")
     tasks = max(1, tiles.count() // TASK_ROWS)
     tiles = tiles.withColumn("task", F.pmod(F.xxhash64("k1", "k2", "i", "j"), F.lit(tasks)))
-    names = ("task", "k1", "k2", "i", "j", "loose", "cid", "comp")
-    schema = "task long, k1 long, k2 long, i int, j int, loose boolean, cid long, comp long"
+    names = ["task", "k1", "k2", "i", "j", "loose", "out", "cid", "comp"]
+    schema = "task long, k1 long, k2 long, i int, j int, loose boolean, out boolean, cid long, comp long"
     left, links = to_arrow(spark, schema), to_arrow(spark, "a long, b long")
 
-    def pairs(group: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-        """Tiles of a task, with the rows of pairs that pass the sequential test."""
+    def pairs(group: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        """The rows of a task's tiles, and of those the pairs that pass the sequential test."""
         group = group.sort_by([(c, "ascending") for c in ("k1", "k2", "i", "j", "loose", "cid")])
         key = np.stack([group[c].to_numpy() for c in ("k1", "k2", "i", "j")])
+        cid, comp = group["cid"].to_numpy(), group["comp"].to_numpy()
+        loose, out = (group[c].to_numpy().astype(bool) for c in ("loose", "out"))
+        raw = b"".join(group["sig"].to_pylist())
+        sig, bands = np.frombuffer(raw, np.uint16).reshape(-1, HASHES), band_keys(raw).view(np.int64)
         first = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0))))
-        for s, e in zip(first, np.append(first[1:], group.num_rows), strict=True):
-            tile = group.slice(s, e - s)
-            raw = b"".join(tile["sig"].to_pylist())
-            sig, bands = np.frombuffer(raw, np.uint16).reshape(-1, HASHES), band_keys(raw).view(np.int64)
-            at = np.sort(np.flatnonzero((bands[0] == key[0, s]) | (bands[0] == key[1, s])))[:2]
-            cid, comp, loose = tile["cid"].to_numpy(), tile["comp"].to_numpy(), tile["loose"].to_numpy(zero_copy_only=False)
-            x, y = np.flatnonzero(loose), np.flatnonzero(~loose)
-            also = set(cid[x].tolist())
-            both = np.array([c in also for c in cid[y].tolist()], bool)  # loose itself: such a pair stands twice
-            found = []
-            for k in range(0, len(x), 64):
-                p, q = (v.ravel() for v in np.meshgrid(x[k : k + 64], y, indexing="ij"))
-                go = (comp[p] != comp[q]) & (~np.tile(both, len(x[k : k + 64])) | (cid[p] < cid[q]))
-                p, q = p[go], q[go]
-                same = bands[p] == bands[q]
-                one = same.argmax(1)
-                same[np.arange(len(p)), one] = False
-                go = (one == at[0]) & (same.argmax(1) == at[1]) if len(at) == 2 else np.zeros(len(p), bool)
-                p, q = p[go], q[go]
-                kept, _ = sequential(sig, sig, p, q, similar)
-                found.append(np.stack((p[kept], q[kept])))
-            p, q = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-            if len(p):
-                yield tile, p, q
+        tile = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(cid))))
+        every = np.bincount(tile, ~loose, len(first)).astype(int)  # rows of a tile that are not on the loose side; they come first
+        own = np.sort(np.stack([(bands[first] == key[k, first, None]).argmax(1) for k in (0, 1)]), 0)  # the tile's two bands
+        rows = np.flatnonzero(loose)
+        count = every[tile[rows]]
+        found = []
+        for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(np.cumsum(count) // PAIRS_AT_ONCE)) + 1):
+            n = count[part]
+            p = np.repeat(rows[part], n)
+            q = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[tile[rows[part]]], n)
+            go = (comp[p] != comp[q]) & (~out[q] | (cid[p] < cid[q]))  # a pair of loose ones stands twice
+            p, q = p[go], q[go]
+            same = bands[p] == bands[q]
+            one = same.argmax(1) if len(p) else p
+            same[np.arange(len(p)), one] = False
+            go = (one == own[0, tile[p]]) & ((same.argmax(1) if len(p) else p) == own[1, tile[p]])
+            p, q = p[go], q[go]
+            kept, _ = sequential(sig, sig, p, q, similar)
+            found.append(np.stack((p[kept], q[kept])))
+        p, q = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        return group, p, q
 
     def survivors(group: pa.Table) -> pa.Table:
-        parts = [tile.take(np.unique(np.concatenate((p, q)))).select(list(names)) for tile, p, q in pairs(group)]
-        return pa.concat_tables(parts).cast(left) if parts else left.empty_table()
+        group, p, q = pairs(group)
+        return group.take(np.unique(np.concatenate((p, q)))).select(names).cast(left)
 
     def linked(group: pa.Table) -> pa.Table:
-        out = [left_links(tile, p, q) for tile, p, q in pairs(group)]
-        a, b = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": a, "b": b}, schema=links)
-
-    def left_links(tile: pa.Table, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        cid, comp = tile["cid"].to_numpy(), tile["comp"].to_numpy()
-        words = [np.frombuffer(w, np.uint64) for w in tile["words"].to_pylist()]
-        n = np.array([len(w) for w in words])
-        owner = np.repeat(np.arange(len(words)), n)
-        _, shingle = np.unique(np.concatenate(words), return_inverse=True)
-        having = owner[np.argsort(shingle, kind="stable")]  # classes by shingle
-        end = np.cumsum(np.bincount(shingle))
-        own_shingles = np.split(shingle, np.cumsum(n)[:-1])
-        found = []
-        for one in np.unique(p):
-            others = q[p == one]
-            if len(others) <= 4:
-                common = np.array([len(np.intersect1d(words[one], words[o], assume_unique=True)) for o in others])
-            else:
-                e = own_shingles[one]
-                stop = end[e]
-                start = np.where(e > 0, end[e - 1], 0)
-                m = stop - start
-                where = np.arange(m.sum()) + np.repeat(start - np.cumsum(m) + m, m)
-                common = np.bincount(having[where], minlength=len(words))[others]
-            others = others[100 * common >= similar * (n[one] + n[others] - common)]
-            found.append(np.stack((np.full(len(others), one), others)))
-        a, b = np.concatenate(found, 1)
-        # two components need one link
-        _, once = np.unique(np.sort(np.stack((comp[a], comp[b])), 0), axis=1, return_index=True)
-        return np.stack((cid[a[once]], cid[b[once]]))
+        group, p, q = pairs(group)
+        cid, comp, words = group["cid"].to_numpy(), group["comp"].to_numpy(), group["words"]
+        order = np.argsort(p, kind="stable")
+        p, q = p[order], q[order]
+        a, b = [], []
+        for s, e in zip(*(lambda f: (f, np.append(f[1:], len(p))))(np.flatnonzero(np.diff(p, prepend=-1))), strict=True):
+            one = np.frombuffer(words[int(p[s])].as_py(), np.uint64)
+            met: set[int] = set()
+            for other in q[s:e].tolist():
+                if comp[other] not in met:  # two components need one link
+                    two = np.frombuffer(words[other].as_py(), np.uint64)
+                    common = len(np.intersect1d(one, two, assume_unique=True))
+                    if 100 * common >= similar * (len(one) + len(two) - common):
+                        met.add(comp[other])
+                        a.append(cid[p[s]])
+                        b.append(cid[other])
+        return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)}, schema=links)
 
     near = stored(tiles.join(sigs.select("cid", "sig"), "cid").groupBy("task").applyInArrow(survivors, schema), "survivors")
     full = sets(near.select("cid").distinct())
@@ -289,27 +278,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR, id_col:
     have no component and are kept. Repeated ids link by their texts alone; repeated rows are all kept or
     none is. Ids are whole numbers (others raise). An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stored(signatures(rows.withColumn("th", F.xxhash64("text")), k), "signatures")
-    usable = signed.filter(F.col("id").isNotNull() & F.col("cid").isNotNull())
-    tops = usable.groupBy("cid").agg(F.min("id").alias("id"))
-    buckets = band_rows(usable.select("cid", "sig")).distinct()
-    leaders = buckets.groupBy("k").agg(F.min(F.struct(F.xxhash64("cid", "k"), "cid"))["cid"].alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    multi = stored(buckets.join(leaders, "k").select("k", "cid", "leader"), "buckets")
-    pairs = stored(multi.filter("cid != leader").select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct(), "pairs")
-    members = multi.select("cid").distinct()
-    sigs = stored(usable.select("cid", "sig", "n").join(members, "cid", "left_semi").dropDuplicates(["cid"]), "sigs")
-    left = stored(pruned(pairs, sigs, similar), "pruned")
-    sided = left.select(F.col("a").alias("cid"), F.col("b").alias("to"), "m").unionByName(left.select(F.col("b").alias("cid"), F.col("a").alias("to"), "m"))
-    best = sided.groupBy("cid").agg(F.max(F.struct("m", F.xxhash64("to"), "to"))["to"].alias("to")).select(F.least("cid", "to").alias("a"), F.greatest("cid", "to").alias("b")).distinct()
-    first = _link(rows, stored(best, "best"), tops, k, similar)
-    labels = stored(components(first), "labels")
-    comps = multi.select("k", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    several = comps.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("k")
-    mixed = comps.join(several, "k", "left_semi").join(sigs.select("cid", "n"), "cid")
-    more = stored(across(mixed, sigs, lambda need: full_sets(rows, tops.join(need, "cid", "left_semi"), k), similar), "across")
-    if not more.isEmpty():
-        labels = stored(components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "labels")
+    with passing(docs.sparkSession) as keep:
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        signed = stored(signatures(rows.withColumn("th", F.xxhash64("text")), k), "signatures")
+        usable = signed.filter(F.col("id").isNotNull() & F.col("cid").isNotNull())
+        tops = usable.groupBy("cid").agg(F.min("id").alias("id"))
+        buckets = band_rows(usable.select("cid", "sig")).distinct()
+        leaders = buckets.groupBy("k").agg(F.min(F.struct(F.xxhash64("cid", "k"), "cid"))["cid"].alias("leader"), F.count("*").alias("n")).filter("n > 1")
+        multi = stored(buckets.join(leaders, "k").select("k", "cid", "leader"), "buckets")
+        pairs = stored(multi.filter("cid != leader").select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct(), "pairs")
+        members = multi.select("cid").distinct()
+        sigs = stored(usable.select("cid", "sig", "n").join(members, "cid", "left_semi").dropDuplicates(["cid"]), "sigs")
+        left = stored(pruned(pairs, sigs, similar), "pruned")
+        sided = left.select(F.col("a").alias("cid"), F.col("b").alias("to"), "m").unionByName(left.select(F.col("b").alias("cid"), F.col("a").alias("to"), "m"))
+        best = sided.groupBy("cid").agg(F.max(F.struct("m", F.xxhash64("to"), "to"))["to"].alias("to")).select(F.least("cid", "to").alias("a"), F.greatest("cid", "to").alias("b")).distinct()
+        first = _link(rows, stored(best, "best"), tops, k, similar)
+        labels = components(first)
+        comps = multi.select("k", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        several = comps.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("k")
+        mixed = comps.join(several, "k", "left_semi").join(sigs.select("cid", "n"), "cid")
+        more = stored(across(mixed, sigs, lambda need: full_sets(rows, tops.join(need, "cid", "left_semi"), k), similar), "across")
+        if not more.isEmpty():
+            labels = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+        keep += [signed, labels]
     byclass = tops.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = byclass.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = byclass.join(least, "comp").select("cid", "component_id")
