@@ -8,8 +8,9 @@ in both, in segments of the same minimizer. So:
    which of them several documents have.
 2. Segments with such a minimizer go, once for each group of documents and distinct segment, to the
    bucket of their minimizer. There a Burrows-Wheeler transform of the distinct segments is searched
-   (bwt.py) for the strings they share, and each string gets the least id of its documents. A minimizer
-   whose segments are all equal needs no search.
+   (bwt.py) for the strings they share, and each string gets the least id of its documents. The segments of
+   a hot minimizer, one with more than HOT segments, go as single strings, each to the bucket of its own
+   hash, so that no task has all the surroundings of a frequent passage.
 3. The answers return to the groups of documents, where bytes covered by a string with a smaller id go.
 
 What crosses the network is packed: one row holds many records, in byte planes.
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,7 @@ GROUP_BYTES = 8 << 20  # text in a group of documents, about
 FLUSH_BYTES = 16 << 20  # text that a task cuts at once, about
 CHUNK_BYTES = 1 << 20  # text that is hashed at once, about
 BLOCK_BYTES = 1 << 19  # text in one transform, about; a minimizer's segments stay together
+HOT = 20_000  # segments of one minimizer
 MINIMIZER = np.uint64((1 << 48) - 1)  # bits of a minimizer that travel; equal strings agree in them, others seldom
 NO_ID = np.iinfo(np.int64).max  # a null id: larger than all others
 BLOB = "kind int, bucket int, data binary"
@@ -141,8 +144,8 @@ def tidy() -> None:
 
 
 def _cut(least: int, buckets: int, groups: int, arrow: pa.Schema):
-    """Stage 1. kind 0: minimizers for their bucket, with id, start and strings of the segment, and whether
-    several of the task's documents have it; kind 1: segments that the task itself knows to be shared, for their group."""
+    """Stage 1. kind 0: minimizers for their bucket, with id, start and strings of the segment, and, if several
+    of the task's documents have it, in how many segments, else 0; kind 1: segments that the task itself knows to be shared, for their group."""
 
     def flush(ids: list, held: list[bytes], turn: int) -> Iterator[pa.RecordBatch]:
         doc, start, strings, v = chunked(held, least)
@@ -158,13 +161,14 @@ def _cut(least: int, buckets: int, groups: int, arrow: pa.Schema):
         # a minimizer that one document has in several segments is sent with each of them
         shared = np.repeat(many, last - first + 1)
         send = np.where(shared, new, True)
+        many_segments = np.where(shared, np.repeat(last - first + 1, last - first + 1), 0).astype(np.uint32)
         kind, bucket, data = [], [], []
         at = np.flatnonzero(send)
         for b, rows in by_bucket((v[at] % np.uint64(buckets)).astype(np.int64), buckets):
             r = at[rows]
             kind.append(0)
             bucket.append(b)
-            data.append(packed(v[r], ids[r], start[r], strings[r], shared[r].astype(np.uint8)))
+            data.append(packed(v[r], ids[r], start[r], strings[r], many_segments[r]))
         at = np.flatnonzero(shared)
         if len(at):
             for g, rows in by_bucket(group_of(ids[at], groups), groups):
@@ -193,17 +197,18 @@ def _cut(least: int, buckets: int, groups: int, arrow: pa.Schema):
     return run
 
 
-def _shared(groups: int, arrow: pa.Schema):
-    """Stage 1, a bucket of minimizers: segments whose minimizer several documents have, for their groups; kind 1 passes."""
+def _shared(groups: int, hot: int, arrow: pa.Schema):
+    """Stage 1, a bucket of minimizers. kind 0: segments whose minimizer several documents have, for their groups; those of kind 1 pass. kind 1: hot minimizers, for all groups."""
 
     def run(t: pa.Table) -> pa.Table:
-        group, data, found = [], [], []
+        kind, group, data, found = [], [], [], []
         for k, d in zip(t["kind"].to_pylist(), t["data"].to_pylist(), strict=True):
             if k:
+                kind.append(0)
                 group.append(k - 1)
                 data.append(d)
             else:
-                found.append(unpacked(d, np.uint64, np.int64, np.uint32, np.uint32, np.uint8)[:5])
+                found.append(unpacked(d, np.uint64, np.int64, np.uint32, np.uint32, np.uint32)[:5])
         if found:
             v, ids, start, strings, flag = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.argsort(v)
@@ -214,10 +219,16 @@ def _shared(groups: int, arrow: pa.Schema):
             at = np.flatnonzero(np.repeat(several, last - first + 1) & (flag == 0))  # flagged ones went by kind 1
             for g, rows in by_bucket(group_of(ids[at], groups), groups):
                 r = at[rows]
+                kind.append(0)
                 group.append(g)
                 data.append(packed(v[r], ids[r], start[r], strings[r]))
+            frequent = v[first][several & (np.add.reduceat(np.maximum(flag.astype(np.int64), 1), first) > hot)]
+            if len(frequent):
+                kind += [1] * groups
+                group += range(groups)
+                data += [frequent.tobytes()] * groups
         tidy()
-        return pa.table({"grp": group, "data": data}, schema=arrow)
+        return pa.table({"kind": kind, "grp": group, "data": data}, schema=arrow)
 
     return run
 
@@ -230,16 +241,26 @@ def distinct_texts(docs: pa.Table) -> dict[int, list[bytes]]:
     return {i: sorted(ts) for i, ts in out.items()}
 
 
+def single_strings(t: bytes, start: int, strings: int, least: int) -> Iterator[tuple[tuple[int, bytes], int]]:
+    """Each string of a segment under a hash of its own, and where it starts."""
+    for at in range(start, start + strings):
+        x = t[at : at + least]
+        yield (xxhash.xxh3_64_intdigest(x) & int(MINIMIZER), x), at
+
+
 def _send(least: int, buckets: int, arrow: pa.Schema):
     """Stage 2, a group of documents: each distinct segment once, with its least id, for its minimizer's bucket; where they stand, for stage 3."""
 
     def run(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
         group = key[0].as_py()
         kind, bucket, data = [], [], []
-        if docs.num_rows and shared.num_rows:
+        told = list(zip(shared["kind"].to_pylist(), shared["data"].to_pylist(), strict=True))
+        hot = {w for k, d in told if k for w in np.frombuffer(d, np.uint64).tolist()}
+        packets = [d for k, d in told if not k]
+        if docs.num_rows and packets:
             text = distinct_texts(docs)
             cut = {(i, n): set(zip(*(x.tolist() for x in segments([t], least)[1:]), strict=True)) for i, ts in text.items() if len(ts) > 1 for n, t in enumerate(ts)}
-            v, ids, start, strings = (np.concatenate(c) for c in zip(*(unpacked(d, np.uint64, np.int64, np.uint32, np.uint32)[:4] for d in shared["data"].to_pylist()), strict=True))
+            v, ids, start, strings = (np.concatenate(c) for c in zip(*(unpacked(d, np.uint64, np.int64, np.uint32, np.uint32)[:4] for d in packets), strict=True))
             order = np.lexsort((start, ids, v))
             seen: dict[tuple[int, bytes], int] = {}
             low: list[int] = []
@@ -247,10 +268,11 @@ def _send(least: int, buckets: int, arrow: pa.Schema):
             for w, i, s, n in zip(v[order].tolist(), ids[order].tolist(), start[order].tolist(), strings[order].tolist(), strict=True):
                 for nth, t in enumerate(text[i]):
                     if len(text[i]) == 1 or (s, n, w) in cut[i, nth]:  # of texts with one id, those that have the segment
-                        k = seen.setdefault((w, t[s : s + n + least - 1]), len(seen))
-                        if k == len(low):
-                            low.append(i)
-                        where.append((k, i, s, nth))
+                        for key, at in single_strings(t, s, n, least) if w in hot else [((w, t[s : s + n + least - 1]), s)]:
+                            k = seen.setdefault(key, len(seen))
+                            if k == len(low):
+                                low.append(i)
+                            where.append((k, i, at, nth))
             if where:
                 number, ids, start, nths = (np.array(c) for c in zip(*where, strict=True))
                 kind.append(1)
@@ -296,10 +318,10 @@ def _search(least: int, arrow: pa.Schema):
                 owners.setdefault(a, []).append(k)
             count = np.array([len(x) for _, x in keys]) - least + 1
             at = np.cumsum(count) - count
-            least_ids = np.repeat(low, count)  # of every string of every distinct segment
+            least_ids = np.empty(count.sum(), np.int64)  # of every string of every distinct segment
             block: list[int] = []
             held = 0
-            for own_keys in [*(x for x in owners.values() if len(x) > 1), None]:
+            for own_keys in [*owners.values(), None]:
                 if block and (own_keys is None or held >= BLOCK_BYTES):
                     found_ids = least_owner([keys[k][1] for k in block], low[block], least)
                     n = count[block]
@@ -356,13 +378,14 @@ def spans_of(answers: list[tuple[int, bytes]], least: int) -> dict[tuple[int, in
     return out
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), only_text: bool = False, need_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), only_text: bool = False, need_text: bool = True, hot: int = HOT) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256, text (what is left), then the columns of ``keep``, for each row; with ``only_text`` id, text, ``keep``. Without ``need_text`` the text is null.
 
     Bytes in a string of ``least`` bytes that also starts in a document with a smaller id go; overlaps count,
     the input decides. In ``text`` a character stays only if all its bytes stay. Null texts are empty. Rows
-    with equal ids remove nothing from each other; a null id is larger than every other. Texts under
-    ``least`` bytes stay whole. ``least`` is GRAM at least. Empty tables give no rows.
+    with equal ids remove nothing from each other; a null id is larger than every other, and the same as 2^63-1.
+    Ids are whole numbers (others raise). Texts under ``least`` bytes stay whole. ``least`` is GRAM at least.
+    Empty tables give no rows.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -370,9 +393,9 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = buckets = max(8, -(-total // GROUP_BYTES))
-    blob, answer, both = to_arrow(spark, BLOB), to_arrow(spark, "grp int, data binary"), to_arrow(spark, "kind int, grp int, data binary")
+    blob, both = to_arrow(spark, BLOB), to_arrow(spark, "kind int, grp int, data binary")
     cut = rows.select("id", "text").mapInArrow(_cut(least, buckets, groups, blob), BLOB)
-    shared = cut.groupBy("bucket").applyInArrow(_shared(groups, answer), "grp int, data binary")
+    shared = cut.groupBy("bucket").applyInArrow(_shared(groups, hot, both), "kind int, grp int, data binary")
 
     kinds = dict(rows.dtypes)
     grouped = rows.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))

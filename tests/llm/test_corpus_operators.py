@@ -359,11 +359,12 @@ def test_transform_against_brute_force():
         assert bwt.least_owner(texts, owners, least).tolist() == [low[x[i : i + least]] for x in texts for i in range(len(x) - least + 1)]
 
 
-def test_removal(spark, documents, nothing):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
+def test_removal(spark, documents, nothing, hot):
     random.seed(12)
     parts = ["".join(random.choice("abcdé 漢") for _ in range(random.randint(20, 120))) for _ in range(30)] + ["x" * 300, "ab" * 90]
     rows = [(i * 7 % 101, "".join(random.choice(parts) for _ in range(random.randint(0, 6)))) for i in range(100)]
-    got = suffix_dedup.remove_repeats(documents(rows)).collect()
+    got = suffix_dedup.remove_repeats(documents(rows), hot=hot).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_removal([(i, t.encode()) for i, t in rows], 50)
     assert suffix_dedup.remove_repeats(nothing).isEmpty()
 

@@ -3,11 +3,14 @@
 import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
-from graphloom.llm import licenses, quality, token_counts, toxicity
+from graphloom.llm import common, licenses, quality, token_counts, toxicity
 from tests.llm.conftest import EDGES
 
 P = pytest.importorskip("public_tokenizers")
@@ -186,6 +189,64 @@ def test_toxicity(spark, documents, edges, nothing):
     assert toxicity.toxicity(nothing, none).isEmpty()
 
 
+def test_ftrl_against_a_plain_one():
+    """Per-coordinate updates and the threshold, one coordinate at a time in dictionaries."""
+    random.seed(21)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.7, 0.3
+    model = toxicity.Ftrl(5, alpha, beta, l1, l2)
+    z, n = dict.fromkeys(range(32), 0.0), dict.fromkeys(range(32), 0.0)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(400):
+        at, y = sorted(random.sample(range(32), random.randint(1, 6))), random.randint(0, 1)
+        model.learn(np.array(at), y)
+        g = 1 / (1 + math.exp(-sum(weight(i) for i in at))) - y
+        w = {i: weight(i) for i in at}
+        for i in at:
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+    assert model.weights() == pytest.approx([weight(i) for i in range(32)])
+    assert any(weight(i) == 0 for i in range(32)) and any(weight(i) != 0 for i in range(32))
+
+
+def test_toxicity_scores_against_a_plain_model(spark, documents):
+    """Training and scoring worked out again without Spark: the sample by hash, the order of documents, features as sets of hashed grams."""
+    from pyspark.sql import functions as F
+
+    random.seed(22)
+    vocab = [f"w{i}" for i in range(40)] + ["scum"]
+    rows = [(i, " ".join(random.choice(vocab) for _ in range(12))) for i in range(80)] + [(90, None), (91, "Scum, SCUM!")]
+    labels = [(i, int("scum" in t)) for i, t in rows[:80]]
+    got = {r.doc_id: r.score for r in toxicity.toxicity(documents(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+
+    def grams(text):
+        w = [xxhash.xxh3_64_intdigest(x) for x in (text or "").encode().translate(toxicity.TOKEN_TABLE).split()]
+        mix = lambda x: int(common.mix64(np.array([x % 2**64], np.uint64))[0]) >> (64 - toxicity.BITS)
+        pairs = [a * int(toxicity._PAIR) + b for a, b in zip(w, w[1:], strict=False)]
+        skips = [a * int(toxicity._SKIP) + b + 1 for a, b in zip(w, w[2:], strict=False)]
+        return {0} | {mix(x) for x in [*w, *pairs, *skips]}
+
+    order = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i, _ in rows], "id long").select("id", F.xxhash64(F.lit(17), "id")).collect()}
+    data = [(grams(t), y) for (i, t), (_, y) in sorted(zip(rows[:80], labels, strict=True), key=lambda r: order[r[0][0]]) if zlib.crc32(str(i).encode()) % 5 != 0]
+    z, n = Counter(), Counter()
+    weight = lambda i: 0.0 if abs(z[i]) <= toxicity.L1 else -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+    for e in range(toxicity.EPOCHS):
+        for k in np.random.default_rng(e).permutation(len(data)):
+            at, y = data[k]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    for i, t in rows:
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-sum(map(weight, grams(t))))), abs=1e-9)
+
+
 def test_licenses(spark, documents, edges, nothing):
     rows = [
         (1, "Code under the MIT License. Also UNDER-THE-mit-license!"), (2, "Apache\nLicense, Version 2"), (3, "Licensed under CC BY-SA 4.0"), (4, "licensed under the license version 2 apache"), (5, "plain words"),
