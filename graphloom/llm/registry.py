@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
+    "op6_suffix_dedup": suffix_dedup.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
     "op9_licenses": licenses.licenses_sql(),

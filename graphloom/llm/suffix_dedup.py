@@ -427,3 +427,17 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), need_text=False).drop("text")
+
+
+#: Every string of every text against every other; ids are distinct.
+OP6_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, doc_id, o, h[2 * o + 1:2 * o + 610] AS c FROM (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - 49, 256)) AS o FROM d)),
+g AS (SELECT r, doc_id, o + k AS p, md5_number(c[2 * k + 1:2 * k + 100]) AS s FROM (SELECT r, doc_id, o, c, unnest(range(0, least(256, length(c) // 2 - 49))) AS k FROM c)),
+low AS (SELECT s, min(doc_id) AS i FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + 50, true) AS new FROM g JOIN low USING (s) WHERE low.i < doc_id),
+run AS (SELECT r, min(p) AS a, max(p) + 50 AS b FROM (SELECT r, p, sum(CAST(new AS INT)) OVER (PARTITION BY r ORDER BY p) AS k FROM hit) GROUP BY r, k),
+part AS (SELECT r, h, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM run JOIN d USING (r)),
+kept AS (SELECT r, count(*) AS n, sum(b - a) AS gone, string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) || any_value(h)[2 * max(b) + 1:] AS k FROM part GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
