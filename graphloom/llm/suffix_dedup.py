@@ -38,7 +38,7 @@ LEVEL = 3  # of compression of what crosses the network
 GROUP_BYTES = 8 << 20  # text in a group of documents, about
 FLUSH_BYTES = 16 << 20  # text that a task cuts at once, about
 CHUNK_BYTES = 1 << 20  # text that is hashed at once, about
-BLOCK_BYTES = 1 << 19  # text in one transform, about; a minimizer's segments stay together
+BLOCK_BYTES = 1 << 17  # text in one transform, about; a minimizer's segments stay together
 HOT = 20_000  # segments of one minimizer
 MINIMIZER = np.uint64((1 << 48) - 1)  # bits of a minimizer that travel; equal strings agree in them, others seldom
 NO_ID = np.iinfo(np.int64).max  # a null id: larger than all others
