@@ -7,11 +7,10 @@ batch by batch, and a pair goes as soon as the posterior chance that its similar
 threshold falls below MISS. Each class is then verified exactly, on full sets, with its best candidate.
 What this links is joined into components.
 
-Links between components may be left. A pair at the threshold agrees in two bands or more (but for a chance
-like MISS), and both bands' buckets then span several components. So classes meet again only where two such
-buckets meet, and there each class outside the largest component is compared with all classes of other
-components: a pair goes through the sequential test in the first two bands that it shares, and what is left
-is verified on full sets. So a link is missed only if fewer than two bands agree, or by the chosen MISS.
+Links between components may be left. Their classes share a bucket that spans several components. In such a
+bucket each class outside the largest component is compared with all classes of other components, in tiles: a
+pair goes through the sequential test in the first band that it shares, and what is left is verified on full
+sets. So a link is missed only if no band agrees, or by the chosen MISS.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from graphloom.llm.components import components
 from graphloom.runtime import passing
 
 SIMILAR = 80  # per cent
-ROWS, BANDS = 4, 32  # at similarity 0.8 no band agrees with probability 5e-8, fewer than two with 1e-6
+ROWS, BANDS = 4, 32  # at similarity 0.8 no band agrees with probability 5e-8
 HASHES = ROWS * BANDS
 BATCH = 16
 MISS = 1e-6
@@ -172,28 +171,19 @@ def full_sets(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
     return per_row(rows, run, "cid long, words binary").filter("words is not null").dropDuplicates(["cid"])
 
 
-def meetings(mixed: DataFrame) -> DataFrame:
-    """(k1, k2, cid, comp, n) where two buckets of ``mixed`` (k, cid, comp, n) meet and classes of several components are."""
-    both = mixed.groupBy("cid").agg(F.sort_array(F.collect_set("k")).alias("ks"), F.first("comp").alias("comp"), F.first("n").alias("n")).filter("size(ks) > 1")  # BANDS keys at most
-    pairs = F.flatten(F.transform("ks", lambda k, i: F.transform(F.slice("ks", i + 2, BANDS), lambda other: F.struct(k.alias("k1"), other.alias("k2")))))
-    rows = both.select("cid", "comp", "n", F.explode(pairs).alias("p")).select("p.k1", "p.k2", "cid", "comp", "n")
-    several = rows.groupBy("k1", "k2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("k1", "k2")
-    return rows.join(several, ["k1", "k2"], "left_semi")
-
-
-def tiled(met: DataFrame) -> DataFrame:
-    """(k1, k2, i, j, loose, out, cid, comp): in a tile the loose classes of block i, those outside the largest component, stand against all of block j; ``out`` marks loose ones on either side.
+def tiled(mixed: DataFrame) -> DataFrame:
+    """(k, i, j, loose, out, cid, comp): in a tile the loose classes of block i, those outside the bucket's largest component, stand against all of block j; ``out`` marks loose ones on either side.
 
     A block has about TILE classes and TILE_BYTES of sets at most.
     """
-    comps = met.groupBy("k1", "k2", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    comps = mixed.groupBy("k", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     blocks = lambda c, w: F.greatest(F.ceil(c / TILE), F.ceil(w * 8 / TILE_BYTES)).cast("int")
-    size = comps.groupBy("k1", "k2").agg(F.max(F.struct("c", "w", "comp")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"))
-    size = size.select("k1", "k2", F.col("top.comp").alias("top"), blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("ni"), blocks(F.col("c"), F.col("w")).alias("nj"))
-    rows = met.join(size, ["k1", "k2"]).withColumn("out", F.col("comp") != F.col("top"))
+    size = comps.groupBy("k").agg(F.max(F.struct("c", "w", "comp")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    size = size.select("k", F.col("top.comp").alias("top"), blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("ni"), blocks(F.col("c"), F.col("w")).alias("nj"))
+    rows = mixed.join(size, "k").withColumn("out", F.col("comp") != F.col("top"))
     own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("cid")), F.col(n)).cast("int")
-    loose = rows.filter("out").select("k1", "k2", own(5, "ni").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("loose"), "out", "cid", "comp")
-    every = rows.select("k1", "k2", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), own(6, "nj").alias("j"), F.lit(False).alias("loose"), "out", "cid", "comp")
+    loose = rows.filter("out").select("k", own(5, "ni").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("loose"), "out", "cid", "comp")
+    every = rows.select("k", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), own(6, "nj").alias("j"), F.lit(False).alias("loose"), "out", "cid", "comp")
     return loose.unionByName(every)
 
 
@@ -205,17 +195,17 @@ def across(mixed: DataFrame, sigs: DataFrame, sets: Callable[[DataFrame], DataFr
     """
     spark = mixed.sparkSession
     bound_batches(spark)
-    tiles = stored(tiled(stored(meetings(mixed), "meetings")), "tiles")
+    tiles = stored(tiled(stored(mixed, "mixed")), "tiles")
     tasks = max(1, tiles.count() // TASK_ROWS)
-    tiles = tiles.withColumn("task", F.pmod(F.xxhash64("k1", "k2", "i", "j"), F.lit(tasks)))
-    names = ["task", "k1", "k2", "i", "j", "loose", "out", "cid", "comp"]
-    schema = "task long, k1 long, k2 long, i int, j int, loose boolean, out boolean, cid long, comp long"
+    tiles = tiles.withColumn("task", F.pmod(F.xxhash64("k", "i", "j"), F.lit(tasks)))
+    names = ["task", "k", "i", "j", "loose", "out", "cid", "comp"]
+    schema = "task long, k long, i int, j int, loose boolean, out boolean, cid long, comp long"
     left, links = to_arrow(spark, schema), to_arrow(spark, "a long, b long")
 
     def pairs(group: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
         """The rows of a task's tiles, and of those the pairs that pass the sequential test."""
-        group = group.sort_by([(c, "ascending") for c in ("k1", "k2", "i", "j", "loose", "cid")])
-        key = np.stack([group[c].to_numpy() for c in ("k1", "k2", "i", "j")])
+        group = group.sort_by([(c, "ascending") for c in ("k", "i", "j", "loose", "cid")])
+        key = np.stack([group[c].to_numpy() for c in ("k", "i", "j")])
         cid, comp = group["cid"].to_numpy(), group["comp"].to_numpy()
         loose, out = (group[c].to_numpy().astype(bool) for c in ("loose", "out"))
         raw = b"".join(group["sig"].to_pylist())
@@ -223,7 +213,7 @@ def across(mixed: DataFrame, sigs: DataFrame, sets: Callable[[DataFrame], DataFr
         first = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0))))
         tile = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(cid))))
         every = np.bincount(tile, ~loose, len(first)).astype(int)  # rows of a tile that are not on the loose side; they come first
-        own = np.sort(np.stack([(bands[first] == key[k, first, None]).argmax(1) for k in (0, 1)]), 0)  # the tile's two bands
+        own = (bands[first] == key[0, first, None]).argmax(1)  # the tile's band
         rows = np.flatnonzero(loose)
         count = every[tile[rows]]
         found = []
@@ -233,11 +223,9 @@ def across(mixed: DataFrame, sigs: DataFrame, sets: Callable[[DataFrame], DataFr
             q = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[tile[rows[part]]], n)
             go = (comp[p] != comp[q]) & (~out[q] | (cid[p] < cid[q]))  # a pair of loose ones stands twice
             p, q = p[go], q[go]
-            same = bands[p] == bands[q]
-            one = same.argmax(1) if len(p) else p
-            same[np.arange(len(p)), one] = False
-            go = (one == own[0, tile[p]]) & ((same.argmax(1) if len(p) else p) == own[1, tile[p]])
-            p, q = p[go], q[go]
+            if len(p):
+                go = (bands[p] == bands[q]).argmax(1) == own[tile[p]]  # the first band that they share
+                p, q = p[go], q[go]
             kept, _ = sequential(sig, sig, p, q, similar)
             found.append(np.stack((p[kept], q[kept])))
         p, q = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
