@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 from math import log2
 
@@ -10,12 +11,18 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import costs, graphs, motifs, rewriting
 from graphloom.operators.motifs import Rule
-from graphloom.runtime import store
+from graphloom.runtime import exists, store
 
 SELECTORS = ("sparse", "per_graph", "all_eligible")
 SELECTIONS = ("best", "best_nonempty", "fixed")
 
 
+def corpus_digest(nodes: DataFrame, edges: DataFrame) -> str:
+    """The same for the same rows in any order: counts and sums of 64-bit hashes, so a cache is trusted as far as those."""
+    one = lambda d: d.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*d.columns).cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.sum(F.xxhash64(F.lit(1), *d.columns).cast("decimal(38,0)")), F.lit(0))).first()
+    return hashlib.sha1(repr([tuple(map(int, one(d))) for d in (nodes, edges)]).encode()).hexdigest()
+
+
 def positive_bits(n: int) -> float:
     n = max(n, 1)
     return log2(n) + log2(n + 1)
@@ -68,6 +75,7 @@ class MotifCompressor:
     dictionary_selection: str = "best"
     topology_only: bool = False
     validate: bool = True
+    cache_dir: str | None = None  # occurrences of a corpus met before are read from here
     rules: list[Rule] | None = field(default=None, init=False)
 
     def __post_init__(self) -> None:
@@ -87,7 +95,16 @@ class MotifCompressor:
             nodes, edges = nodes.withColumn("label", F.lit("_")), edges.withColumn("label", F.lit("_"))
         if self.validate:
             graphs.check(nodes, edges)
-        return nodes, edges, store(motifs.occurrences(nodes, edges, self.graphlet_sizes), "occurrences")
+        return nodes, edges, self._occurrences(nodes, edges)
+
+    def _occurrences(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        occ = motifs.occurrences(nodes, edges, self.graphlet_sizes)
+        if self.cache_dir is None:
+            return store(occ, "occurrences")
+        path = f"{self.cache_dir}/occurrences-{'-'.join(map(str, self.graphlet_sizes))}-{corpus_digest(nodes, edges)}"
+        if not exists(nodes.sparkSession, f"{path}/_SUCCESS"):
+            occ.write.mode("overwrite").parquet(path)
+        return nodes.sparkSession.read.schema(occ.schema).parquet(path)
 
     def _check(self) -> None:
         if self.rules is None:

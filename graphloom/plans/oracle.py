@@ -233,4 +233,18 @@ SELECT x.c_nationkey, x.n, y.n AS original_n, round(x.n / y.n, 6) AS n_kept, rou
 SELECT n, round(log2(n) + log2(n + 1), 6) AS analytic, l + 2 * length(bin(l)) - 2 AS integer, round(t, 6) AS analytic_topology, CAST(greatest(ceil(t - 1e-7), 0) AS BIGINT) AS integer_topology FROM t""",
     "broken_rules": """SELECT * FROM (SELECT 'few lines' AS rule, count(*) FILTER (NOT coalesce(l_linenumber <= 3, false)) AS n FROM lineitem UNION ALL SELECT 'known flag', count(*) FILTER (NOT coalesce(l_returnflag IN ('A', 'N'), false)) FROM lineitem
 UNION ALL SELECT 'quantity is positive', count(*) FILTER (NOT coalesce(l_quantity > 0, false)) FROM lineitem) WHERE n > 0""",
+    "motif_shapes": f"""WITH RECURSIVE {FLOW}, q AS (SELECT a.graph_id, a.node_id AS a, b.node_id AS b, c.node_id AS c, d.node_id AS d FROM bn a JOIN bn b ON a.graph_id = b.graph_id AND a.node_id < b.node_id JOIN bn c ON c.graph_id = a.graph_id AND b.node_id < c.node_id JOIN bn d ON d.graph_id = a.graph_id AND c.node_id < d.node_id),
+r AS (SELECT graph_id, a, b, c, d, a AS x FROM q UNION SELECT r.graph_id, a, b, c, d, ba.v FROM r JOIN ba ON ba.graph_id = r.graph_id AND ba.u = r.x WHERE ba.v IN (a, b, c, d)),
+s AS (SELECT graph_id, a, b, c, d FROM r GROUP BY graph_id, a, b, c, d HAVING count(*) = 4),
+g AS (SELECT z.graph_id, a, b, c, d, x, count(ba.v) AS k FROM (SELECT *, unnest([a, b, c, d]) AS x FROM s) z JOIN ba ON ba.graph_id = z.graph_id AND ba.u = x AND ba.v IN (a, b, c, d) GROUP BY ALL),
+f AS (SELECT list_sort(list(k)) AS k FROM g GROUP BY graph_id, a, b, c, d),
+known(k, m, shape, automorphisms) AS (VALUES ([1, 1, 1, 3], 3, 'star-S3', 6), ([1, 1, 2, 2], 3, 'path-P4', 2), ([2, 2, 2, 2], 4, 'cycle-C4', 8), ([1, 2, 2, 3], 4, 'connected', 2), ([2, 2, 3, 3], 5, 'connected', 4), ([3, 3, 3, 3], 6, 'clique-K4', 24)),
+w AS (SELECT DISTINCT x.graph_id, list_sort([x.u, x.v, y.v]) AS s, be.u IS NOT NULL AS closed FROM ba x JOIN ba y ON x.graph_id = y.graph_id AND x.u = y.u AND x.v < y.v LEFT JOIN be ON be.graph_id = x.graph_id AND be.u = x.v AND be.v = y.v)
+SELECT CAST(size AS INT) AS size, CAST(m AS INT) AS n_edges, shape, CAST(automorphisms AS INT) AS automorphisms, n FROM (
+SELECT 4 AS size, m, shape, automorphisms, count(*) AS n FROM f JOIN known USING (k) GROUP BY ALL
+UNION ALL SELECT 3, CASE WHEN closed THEN 3 ELSE 2 END, CASE WHEN closed THEN 'triangle' ELSE 'path-P3' END, CASE WHEN closed THEN 6 ELSE 2 END, count(*) FROM w GROUP BY closed
+UNION ALL SELECT 2, 1, 'edge', 2, count(*) FROM be) WHERE n > 0""",
+    "selector_sparse_forced": f"WITH {GAINS} SELECT eval_id, n_selected, net FROM (SELECT eval_id, k AS n_selected, round(net, 6) AS net, row_number() OVER (PARTITION BY eval_id ORDER BY round(net, 9) DESC, k) AS r FROM curve WHERE k > 0) WHERE r = 1",
+    "selector_per_graph_forced": f"""WITH {GAINS}, n AS (SELECT *, row_number() OVER (PARTITION BY eval_id ORDER BY gain DESC, graph_id) AS r FROM per WHERE gain < 0)
+SELECT eval_id, CAST(1 AS BIGINT) AS n_selected, graph_id AS last_graph, round(gain - dictionary - n_graphs - 1, 6) AS net FROM n JOIN total USING (eval_id) WHERE r = 1""",
 }

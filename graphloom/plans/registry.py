@@ -400,6 +400,19 @@ def selector_all_eligible(spark, sf_dir):
     return _selected(spark, sf_dir, "all_eligible", True)
 
 
+@query
+def selector_sparse_forced(spark, sf_dir):
+    return _selected(spark, sf_dir, "sparse", True)
+
+
+@query
+def selector_per_graph_forced(spark, sf_dir):
+    """Gains below zero alone: the best graph is taken nevertheless."""
+    per, total = gains(spark, sf_dir)
+    s = costs.select_graphs(per.filter("gain < 0"), total, "per_graph", 1.0, True)
+    return s.select("eval_id", "n_selected", "last_graph", bits("net").alias("net"))
+
+
 @query
 def candidate_ranking(spark, sf_dir):
     """Classes by support, with ranks and motif names."""

@@ -70,6 +70,11 @@ def store(df: DataFrame, label: str = "graphs") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def written() -> int:
     """How many stored tables there are: a place to ``forget`` from."""
     return len(_written)

@@ -205,3 +205,16 @@ def test_stored_tables_go(spark):
     names = os.listdir(gone)
     assert not any(n.startswith("gone-") for n in names) and any(n.startswith("stays-") for n in os.listdir(stays))
     assert second.count() == 2
+
+
+def test_occurrences_are_cached(spark, tmp_path):
+    from graphloom.plans import compressor
+
+    nodes, edges = make(spark, [path(n) for n in (4, 5)])
+    model = compressor.MotifCompressor(cache_dir=f"file://{tmp_path}")
+    first = sorted(map(str, model._occurrences(nodes, edges).collect()))
+    (folder,) = tmp_path.iterdir()
+    files = sorted(folder.iterdir())
+    assert sorted(map(str, model._occurrences(nodes.repartition(3), edges).collect())) == first and first
+    assert [folder] == list(tmp_path.iterdir()) and sorted(folder.iterdir()) == files  # part files would have other names
+    assert compressor.corpus_digest(nodes, edges) != compressor.corpus_digest(nodes.filter("graph_id = 0"), edges)
