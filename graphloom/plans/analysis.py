@@ -119,12 +119,12 @@ def graphs_with(occ: DataFrame, code: str) -> DataFrame:
 
 def ladder_features(sizes: DataFrame, fingerprints: DataFrame, columns: list[str], topology: DataFrame | None = None) -> DataFrame:
     """One row for each graph with a fixed set of columns: sizes, the counts of ``columns``, metrics if exposed, 0 where a graph has none."""
-    wide = fingerprints.filter(F.col("code").isin(columns)).groupBy("graph_id").pivot("code", columns).agg(F.sum("n"))
-    wide = wide.select("graph_id", *[F.col(f"`{c}`").alias(f"motif_{i}") for i, c in enumerate(columns)])
+    # sums with a condition, not a filter: that one is moved below the count and there made of copies of all that a code is computed from
+    wide = fingerprints.groupBy("graph_id").agg(*[F.sum(F.when(F.col("code") == c, F.col("n"))).alias(f"motif_{i}") for i, c in enumerate(columns)])
     out = sizes.join(wide, "graph_id", "left")
     if topology is not None:
         out = out.join(topology.select("graph_id", *[c for c in topology.columns if c not in sizes.columns]), "graph_id", "left")
-    return out.na.fill(0)
+    return out.na.fill(0, [c for c in out.columns if c != "graph_id"])
 
 
 def rewrite_audit(per_graph: DataFrame, split_col: str) -> DataFrame:

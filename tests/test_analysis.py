@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import motifs
-from graphloom.plans import analysis
+from graphloom.plans import analysis, registry
 from graphloom.plans.compressor import MotifCompressor
 from tests.test_compressor import graphs, path, triangles
 
@@ -53,3 +53,19 @@ def test_digest_and_features(spark):
     f = analysis.ladder_features(nodes.groupBy("graph_id").count(), motifs.fingerprint(occ), codes).orderBy("graph_id").collect()
     assert [tuple(r) for r in f] in ([(0, 4, 2, 0), (1, 6, 0, 2)], [(0, 4, 0, 2), (1, 6, 2, 0)])
     assert analysis.graphs_with(occ, codes[0]).count() == 1
+
+
+def test_ladder_computes_a_code_once(spark):
+    nodes, edges = graphs(spark, [path(4), triangles(2)])
+    f = motifs.fingerprint(motifs.occurrences(nodes, edges, (3,))).withColumn("code", registry.pattern3(F.col("code")))
+    names = sorted(r.code for r in f.select("code").distinct().collect())
+    assert len(names) == 2 and names[1].startswith("triangle:")
+    rows = analysis.ladder_features(nodes.groupBy("graph_id").count(), f, names)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("array_min") == 1
+    assert [tuple(r) for r in rows.orderBy("graph_id").collect()] == [(0, 4, 2, 0), (1, 6, 0, 2)]
+
+
+def test_ladder_keeps_a_null_graph(spark):
+    sizes = spark.createDataFrame([(None, 3), (0, 4)], "graph_id long, nodes long")
+    f = spark.createDataFrame([(0, "a", 2), (0, "b", 1)], "graph_id long, code string, n long")
+    assert {tuple(r) for r in analysis.ladder_features(sizes, f, ["a", "c"]).collect()} == {(None, 3, 0, 0), (0, 4, 2, 0)}
