@@ -114,6 +114,18 @@ def test_statistics(spark):
     assert len(manifest) == 8 and sum(r.representation == "original" for r in manifest) == 2 and {r.seed for r in manifest} == {10, 11}
 
 
+def test_sign_test_of_many_trials(spark):
+    exact = lambda s, n: sum(math.comb(n, k) for k in range(s, n + 1)) / 2**n
+    few = [(s, n) for n in (1, 2, 20, 21, 45, 300) for s in range(0, n + 1, 1 + n // 25)]
+    n = 3_000_000_000
+    many = {n // 2: 0.5 + 0.5 * math.sqrt(2 / (math.pi * n)), n // 2 + 30_000: 0.5 * math.erfc(29_999.5 / math.sqrt(n / 2)), 0: 1, n: 0}
+    rows = spark.createDataFrame([*few, *((s, n) for s in many), (None, 5)], "s long, n long").repartition(4)
+    got = {(r.s, r.n): r.p for r in rows.select("s", "n", stats.sign_test(F.col("s"), F.col("n")).alias("p")).collect()}
+    assert got.pop((None, 5)) is None
+    for (s, k), p in got.items():
+        assert p == (pytest.approx(many[s], rel=1e-7) if k == n else pytest.approx(exact(s, k), rel=1e-11))
+
+
 def test_accounting(spark):
     rows = spark.createDataFrame([("a",), ("b",)], "label string")
     known = accounting.vocabulary(rows)
